@@ -287,3 +287,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labelled = nodes.join(label, "fp", "left").select("fp", "id", F.coalesce("label", "fp").alias("label"))
     named = labelled.join(labelled.groupBy("label").agg(F.min("id").alias("component_id")), "label").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
+    """The rows of ``docs``, all columns, one of each group: that with the smallest id. Rows that repeat an id and a text
+    stay once. Rows without an id stay, once for each text, only if their group has no id at all."""
+    stay = near_groups(docs, id_col, text_col, distance).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stays")).distinct()
+    kept = docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("__stays")), "left_semi")
+    return kept.dropDuplicates([id_col, text_col])
