@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 import numpy as np
@@ -27,9 +28,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the shared folder: lost executors cost no recomputation and later plans start here."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` computed once into the shared folder: lost executors cost no recomputation and later plans start here.
+    The shuffle files behind it are no longer needed; Spark deletes them once the driver has collected its garbage."""
+    shared_folder(spark := df.sparkSession)
+    out = df.checkpoint(eager=True)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def texts_of(column: pa.Array) -> list[bytes]:

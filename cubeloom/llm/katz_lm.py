@@ -37,11 +37,13 @@ FORMAT = "<u8"
 
 
 def squeezed(x: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(x).tobytes(), 1)
+    """Numbers byte by byte, all first bytes first: small numbers leave long runs of zeros."""
+    return zlib.compress(np.ascontiguousarray(np.ascontiguousarray(x).reshape(-1).view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), 1)
 
 
 def spread(data: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), kind)
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -75,7 +77,11 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield block((part << 24) + number, ids, parts)
 
     def block(number, ids, parts):
-        words, tokens = np.unique(np.concatenate(parts), return_inverse=True)
+        words, tokens, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        order = np.argsort(-counts, kind="stable")  # common words get small numbers
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        words, tokens = words[order], place[tokens.reshape(-1)]
         cols = [
             pa.array([number]), pa.array([squeezed(np.array([x or 0 for x in ids], "<i8"))], pa.binary()), pa.array([squeezed(np.array([x is not None for x in ids]))], pa.binary()),
             pa.array([squeezed(np.array([len(p) for p in parts], "<i8"))], pa.binary()), pa.array([squeezed(tokens.reshape(-1).astype("<u4"))], pa.binary()), pa.array([words.astype(FORMAT).tobytes()], pa.binary()),

@@ -22,36 +22,45 @@ def joined(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return text, rest
 
 
-def words_at(text: np.ndarray, at: np.ndarray, rest: np.ndarray) -> np.ndarray:
-    """The next eight symbols as one number, zero beyond the string's end. ``text`` is padded by WORD."""
-    out = np.zeros(len(at), np.uint64)
+#: MASKS[k] keeps the first k symbols of a word.
+MASKS = np.array([0] + [(1 << 64) - (1 << (8 * (WORD - k))) for k in range(1, WORD + 1)], np.uint64)
+
+
+def words_of(text: np.ndarray) -> np.ndarray:
+    """For each place, and the one after the last, the next eight symbols as one number."""
+    padded = np.append(text, np.zeros(WORD + 1, np.uint8)).astype(np.uint64)
+    out = np.zeros(len(text) + 1, np.uint64)
     for k in range(WORD):
-        out = (out << np.uint64(8)) | np.where(rest > k, text[at + k], 0).astype(np.uint64)
+        out = (out << np.uint64(8)) | padded[k : k + len(out)]
     return out
 
 
+def words_at(words: np.ndarray, at: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """The words at some places, zero beyond the string's end."""
+    return words[at] & MASKS[np.clip(rest, 0, WORD)]
+
+
 def sort_directly(text: np.ndarray, rest: np.ndarray, at: np.ndarray) -> np.ndarray:
     """``at`` in the order of the suffixes that begin there: by eight symbols, then ties by the next eight."""
-    padded = np.append(text, np.zeros(WORD, np.uint8))
-    order = at[np.argsort(words_at(padded, at, rest[at]), kind="stable")]
-    key = words_at(padded, order, rest[order])
+    words = words_of(text)
+    key = words_at(words, at, rest[at])
+    order = np.argsort(key, kind="stable")
+    key, order = key[order], at[order]
     group = np.cumsum(np.append(0, key[1:] != key[:-1])) if len(order) else key.astype(np.int64)
-    depth = WORD
-    while len(order):
-        size = np.bincount(group)
-        tied = np.flatnonzero((size[group] > 1) & (rest[order] >= depth))
+    depth, tied = WORD, np.arange(len(order))
+    while len(tied):
+        size = np.bincount(group[tied])
+        tied = tied[(size[group[tied]] > 1) & (rest[order[tied]] >= depth)]
         if not len(tied):
             break
         places = order[tied]
-        key = words_at(padded, np.minimum(places + depth, len(text)), np.maximum(rest[places] - depth, 0))
+        key = words_at(words, np.minimum(places + depth, len(text)), rest[places] - depth)
         inner = np.lexsort((key, group[tied]))
         order[tied] = places[inner]
-        new_key, new_group = key[inner], group[tied]
-        split = np.append(False, (new_group[1:] == new_group[:-1]) & (new_key[1:] != new_key[:-1]))
-        step = np.zeros(len(order), np.int64)
-        step[tied] = split
-        fresh = np.append(0, group[1:] != group[:-1]) + step
-        group = np.cumsum(fresh)
+        key, own = key[inner], group[tied]
+        # within a group the members of a new word get a number of their own, beyond all numbers so far
+        new = np.append(True, (own[1:] != own[:-1]) | (key[1:] != key[:-1]))
+        group[tied] = np.cumsum(new) - 1
         depth += WORD
     return order
 
@@ -100,14 +109,14 @@ def _induce(text, larger, wave, out, head) -> None:
 
 def common_prefixes(text: np.ndarray, rest: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     """For each place of ``sa`` but the first, the prefix that it shares with the one before, ``most`` at most."""
-    padded = np.append(text, np.zeros(WORD, np.uint8))
+    words = words_of(text)
     a, b = sa[:-1], sa[1:]
     room = np.minimum(np.minimum(rest[a], rest[b]), most)
     out = np.zeros(len(a), np.int64)
     live = np.flatnonzero(room > 0)
     for depth in range(0, most, WORD):
         left = np.minimum(room[live] - depth, WORD)
-        x = words_at(padded, a[live] + depth, left) ^ words_at(padded, b[live] + depth, left)
+        x = words_at(words, a[live] + depth, left) ^ words_at(words, b[live] + depth, left)
         same = np.full(len(live), WORD)
         for k in reversed(range(WORD)):  # the first symbol that differs
             same[(x >> np.uint64(8 * (WORD - 1 - k))) & np.uint64(255) > 0] = k
