@@ -130,14 +130,14 @@ class Catalog:
 
     # --- rows ----------------------------------------------------------------------------------------------
 
-    def describe(self, cube: Cube, time: str | None = "time", space_id: str = "", time_id: str = "", **keys: str) -> dict:
+    def describe(self, cube: Cube, axis: str | None = "time", space_id: str = "", time_id: str = "", **keys: str) -> dict:
         """The row of a cube: its key from arguments, then attributes, then the cube itself."""
         have = {**{k: str(v) for k, v in cube.attrs.items() if isinstance(v, (str, float)) and v != ""}, **keys}
         have.setdefault("variable", cube.name)
         if "time" not in have:
-            have["time"] = time_label(cube.df, time, prefix=time_id).first()[0] if time in cube.dims else "none"
+            have["time"] = time_label(cube.df, axis, prefix=time_id).first()[0] if axis in cube.dims else "none"
         if "space" not in have:
-            have["space"] = space_label(cube.df, [d for d in cube.dims if d != time], space_id)
+            have["space"] = space_label(cube.df, [d for d in cube.dims if d != axis], space_id)
         if missing := [k for k in KEYS if k not in have]:
             raise ValueError(f"the cube's {missing[0]} is not known")
         return have

@@ -147,7 +147,7 @@ def test_catalogue(spark, tmp_path):
     assert again.table.count() == 2
     with pytest.raises(ValueError):
         catalog.Collection(spark, [again]).save()
-    assert catalog.Collection(spark, [again, c]).table.count() == 3
+    assert catalog.Collection(spark, [again, c]).table.count() == 2  # equal keys: the later catalogue counts
 
 
 def test_workflow(tmp_path):
