@@ -177,7 +177,8 @@ class Workflow:
             for x in got if isinstance(got, list) else [got]:
                 requires.append({**require, **x} if isinstance(x, Mapping) else require)
                 inputs.append(x)
-        ready = replace(node, requires=requires, provides=node.filled(requires) if isinstance(node.provides, list) or requires else node.provides)
+        filled = node.filled(requires)
+        ready = replace(node, requires=requires, provides=filled if isinstance(node.provides, list) else filled[0])
         result = ready.operator(ready, inputs)
         if result is not None:
             self.memo.put(name, request, result)
