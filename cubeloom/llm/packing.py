@@ -16,7 +16,9 @@ are packed as documents of their own; no rows give no rows.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from functools import lru_cache
@@ -35,6 +37,8 @@ STEP_TOKENS = 65_536
 SEQ_BITS = 33
 CACHE_WORDS = 800_000
 CACHED_BYTES = 64  # longer words are not remembered
+PLAIN = re.compile(r"[a-zß-öø-ÿ]+[!-/:-@\[-`{-~]*").fullmatch  # letters that no rule changes, then marks
+JOINED_WORDS = 4096  # new words encoded in one call
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -45,24 +49,60 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 class WordEncoder:
     """Ids of whole texts. The tokenizer drops white space and never merges across it, so texts are
-    encoded word by word, each new word once."""
+    encoded word by word, each new word once. New words are joined by a special token, which parts them in one call.
+
+    Words met lately stay known in two generations: when the newer one is full it becomes the older, and a word of the
+    older one that is met again moves up."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        self.mark_id, self.mark = next(((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special), (None, None))
+        self.bare = self._without_rules()
+
+    def _without_rules(self):
+        """The merges without the tokenizer's rules on characters, for plain words: these only part letters from marks."""
+        t = self.tokenizer
+        letters, marks = ("".join(c for c in map(chr, range(33, 256)) if PLAIN(before + c)) for before in ("", "a!"))
+        sample = letters + marks
+        if (t.normalizer and t.normalizer.normalize_str(sample) != sample) or len(t.pre_tokenizer.pre_tokenize_str(sample)) != 2:
+            return t
+        rules = json.loads(t.to_str())
+        rules["normalizer"] = None
+        rules["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "Punctuation", "behavior": "Contiguous"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+        bare = type(t).from_str(json.dumps(rules))
+        return bare if self.ids_of([sample], bare) == self.ids_of([sample], t) else t
 
     def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         """The little-endian ids of each word."""
-        if len(self.known) > CACHE_WORDS:  # common words are among those of any batch
-            self.known = {w: self.known[w] for w in words if w in self.known}
-        new = [w for w in words if w not in self.known]
-        got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False) if new else []
-        passing = {}
-        for w, e in zip(new, got, strict=True):
-            (self.known if len(w) <= CACHED_BYTES else passing)[w] = np.array(e.ids, "<u4").tobytes()
-        return self.known | passing if passing else self.known
+        if len(self.known) > CACHE_WORDS // 2:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        plain, other, passing = [], [], {}
+        for w in words:
+            if w not in known:
+                if (ids := older.get(w)) is not None:
+                    known[w] = ids
+                else:
+                    (plain if PLAIN(w.decode("utf-8", "replace")) else other).append(w)
+        for group, tokenizer in ((plain, self.bare), (other, self.tokenizer)):
+            for a in range(0, len(group), JOINED_WORDS):
+                block = group[a : a + JOINED_WORDS]
+                texts = [w.decode("utf-8", "replace") for w in block]
+                for w, ids in zip(block, self.ids_of(texts, tokenizer), strict=True):
+                    (known if len(w) <= CACHED_BYTES else passing)[w] = ids
+        return known | passing if passing else known
+
+    def ids_of(self, texts: list[str], tokenizer) -> list[bytes]:
+        if self.mark is not None:
+            joined = np.array(tokenizer.encode_batch_fast([self.mark.join(texts)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(joined == self.mark_id)
+            if len(ends) == len(texts) - 1:  # else a word holds the mark itself
+                data, ends = joined.tobytes(), ends * 4
+                return [data[s:e] for s, e in zip([0, *(ends + 4).tolist()], [*ends.tolist(), len(data)], strict=True)]
+        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
