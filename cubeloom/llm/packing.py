@@ -35,7 +35,7 @@ END_ID = 2
 POOL_TOKENS = 2_000_000
 STEP_TOKENS = 65_536
 SEQ_BITS = 33
-CACHE_WORDS = 800_000
+CACHE_WORDS = 1_600_000
 CACHED_BYTES = 64  # longer words are not remembered
 PLAIN = re.compile(r"[a-zß-öø-ÿ]+[!-/:-@\[-`{-~]*").fullmatch  # letters that no rule changes, then marks
 JOINED_WORDS = 4096  # new words encoded in one call
