@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -29,11 +30,12 @@ from pyspark.sql import DataFrame
 from .common import picked
 
 MARK = "▁"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 CACHED_CHARS = 64
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BLOCK = 1 << 19  # places x words x piece lengths that are looked up at once
 SLOTS = 1 << 20  # of the table of pairs that are known to fit or not
+PRESENT_BITS = 20  # leading bits of a hash, by which substrings that are no piece are passed over
 NEVER = np.int64(1) << 60
 
 
@@ -122,6 +124,8 @@ class Model:
         lengths = np.array([len(self.pieces[i]) for i in usable])
         keys = prefix_hashes(codes)[np.arange(len(usable)), lengths]
         order = np.argsort(keys)
+        self.present = np.zeros(1 << PRESENT_BITS, bool)
+        self.present[keys >> np.uint64(64 - PRESENT_BITS)] = True
         self.keys, self.codes, self.lengths, self.ids = keys[order], codes[order], lengths[order], np.array(usable)[order]
         self.value = np.append(np.array(self.scores), min(self.scores) - 10.0)
 
@@ -207,10 +211,11 @@ def prefix_hashes(codes: np.ndarray) -> np.ndarray:
 
 
 class Searcher:
-    """Viterbi search of new words, with the ids of words already met."""
+    """Viterbi search of new words, with the ids of words already met. These are kept in two generations: when the newer
+    one is full it becomes the older, and a word of the older one that is met again moves up."""
 
     def __init__(self, model: Model):
-        self.m, self.known = model, {}
+        self.m, self.known, self.older = model, {}, {}
         self.slots = np.zeros(SLOTS, np.int64)  # (pair + 1) * 2 + fits
         self.powers = np.multiply.accumulate(np.append(np.uint64(1), np.full(model.longest, BASE)))
         self.split = re.compile(f"[{model.breaks}]|{MARK}*[^{MARK}{model.breaks}]+|{MARK}+" if model.breaks else f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -222,14 +227,19 @@ class Searcher:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.words(t) for t in texts]
-        fresh = set().union(*split)
-        if len(self.known) > CACHE_WORDS:
-            self.known = {w: self.known[w] for w in fresh if w in self.known}
-        fresh = [w for w in fresh if w not in self.known]
-        passing = {}
+        if len(self.known) > CACHE_WORDS // 2:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        fresh, passing = [], {}
+        for w in set().union(*split):
+            if w not in known:
+                if (got := older.get(w)) is None:
+                    fresh.append(w)
+                else:
+                    known[w] = got
         for w, ids in self.search(fresh):
-            (self.known if len(w) <= CACHED_CHARS else passing)[w] = np.array(ids, "<i4").tobytes()
-        known = self.known | passing if passing else self.known
+            (known if len(w) <= CACHED_CHARS else passing)[w] = array("i", ids).tobytes()
+        known = known | passing if passing else known
         return [np.frombuffer(b"".join(map(known.__getitem__, words)), "<i4") for words in split]
 
     def decode(self, ids: np.ndarray) -> str:
@@ -254,9 +264,11 @@ class Searcher:
             if not len(ends):
                 continue
             h = hashes[:, ends] - hashes[:, ends - size] * self.powers[size]
-            at = np.minimum(np.searchsorted(m.keys, h), len(m.keys) - 1)
-            w, p = np.nonzero((m.keys[at] == h) & (m.lengths[at] == size))
-            hit = at[w, p]
+            w, p = np.nonzero(m.present[h >> np.uint64(64 - PRESENT_BITS)])  # most substrings are no piece
+            h = h[w, p]
+            hit = np.minimum(np.searchsorted(m.keys, h), len(m.keys) - 1)
+            equal = (m.keys[hit] == h) & (m.lengths[hit] == size)
+            w, p, hit = w[equal], p[equal], hit[equal]
             same = (codes[w[:, None], (ends[p] - size)[:, None] + np.arange(size)] == m.codes[hit, :size]).all(1)
             out[w[same], ends[p[same]] - a - 1, size - 1] = m.ids[hit[same]]
         single = out[:, :, 0]
