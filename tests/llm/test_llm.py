@@ -198,6 +198,43 @@ def test_passages(docs):
     assert {11, 12} <= {got[i]["doc_id"] for i in (11, 12) if got[i]["class_id"] == 4} and got[3]["n_spans"] == 0 and got[7]["n_spans"] == 0
 
 
+def edited(words, rng, edits):
+    out = list(words)
+    for _ in range(edits):
+        k = rng.randrange(len(out))
+        out[k : k + rng.choice([1, 1, 0])] = [f"e{rng.random()}"] * rng.choice([1, 1, 0])
+    return out
+
+
+def jaccard(a, b):
+    return len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+
+
+def test_common_ranges_of_edited_passages():
+    def tokens(words):
+        return substring_windows.tokens(" ".join(words).encode())
+
+    def noise(n):
+        return [f"n{rng.random()}" for _ in range(n)]
+
+    rng, tried = random.Random(6), 0
+    fixed = [(51, (25,)), (60, (30,)), (80, (40,)), (100, (33, 66)), *((51, (k,)) for k in range(10, 41))]
+    cases = [(w := [f"w{i}" for i in range(n)], [("new" if i in at else x) for i, x in enumerate(w)]) for n, at in fixed]
+    cases += [(w := [f"w{i}" for i in range(rng.randint(51, 200))], edited(w, rng, rng.randint(0, 5))) for _ in range(400)]
+    for a, b in cases:
+        if jaccard(tokens(a), tokens(b)) < 0.8:
+            continue
+        tried += 1
+        before, behind = noise(rng.randint(0, 80)), noise(rng.randint(0, 80))
+        ta, tb = tokens([*before, *a, *behind]), tokens([*noise(rng.randint(0, 80)), *b, *noise(rng.randint(0, 80))])
+        got = substring_windows.common(ta, tb)
+        assert got and all(jaccard(ta[p : q + 1], tb[x : y + 1]) >= 0.8 for p, q, x, y in got), (len(a), len(b))
+        # all that both passages have is covered
+        shared = len(before) + np.flatnonzero(np.isin(tokens(a), tokens(b)))
+        assert sum(any(p <= k <= q for p, q, _, _ in got) for k in shared) >= 0.95 * len(shared), (len(a), got)
+    assert tried > 200
+
+
 def test_compact_windows_are_the_cartesian_tree():
     for _ in range(30):
         a = [RNG.randint(1, 6) for _ in range(RNG.randint(1, 25))]
