@@ -235,6 +235,22 @@ def test_common_ranges_of_edited_passages():
     assert tried > 200
 
 
+def test_passages_of_one_original_and_its_edited_copies(spark, monkeypatch):
+    monkeypatch.setattr(substring_windows, "BLOCK", 10)
+    rng = random.Random(8)
+    words = [f"o{i}" for i in range(60)]
+    made = [[f"e{i}" if k == i else x for k, x in enumerate(words)] for i in range(60)]
+    made.insert(29, words)
+    texts = [[*(f"n{rng.random()}" for _ in range(40)), *w, *(f"n{rng.random()}" for _ in range(40))] for w in made]
+    got = by_id(substring_windows.near_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(3)))
+    # brute force: which copies have a passage similar to the original
+    t = [substring_windows.tokens(" ".join(w).encode()) for w in made]
+    true = [i for i in range(61) if i != 29 and jaccard(t[i], t[29]) >= 0.8]
+    linked = [i for i in true if got[i]["class_id"] == got[29]["class_id"]]
+    assert len(true) == 60 and len(linked) >= 0.95 * len(true)
+    assert all(got[i]["n_repeat_words"] >= 40 for i in linked)
+
+
 def test_compact_windows_are_the_cartesian_tree():
     for _ in range(30):
         a = [RNG.randint(1, 6) for _ in range(RNG.randint(1, 25))]
