@@ -251,6 +251,25 @@ def test_passages_of_one_original_and_its_edited_copies(spark, monkeypatch):
     assert all(got[i]["n_repeat_words"] >= 40 for i in linked)
 
 
+@pytest.mark.parametrize("n", [60, 300])
+def test_passages_at_several_places_of_a_document(spark, n):
+    rng = random.Random(9)
+
+    def text(*parts):
+        return " ".join(x for k in [70, *parts] for x in ([f"n{rng.random()}" for _ in range(k)] if isinstance(k, int) else [k]))
+
+    p = " ".join(f"w{i}" for i in range(n))
+    texts = [text(p, 100, p, 90, p, 50), text(60, p, 30), text(p, 80, p), text(p, 80, p.replace("w30 ", "x "), 20)]
+    for parts in (1, 4):  # all in one piece, each in its own
+        got = by_id(substring_windows.near_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartitionByRange(parts, "doc_id")))
+        for i, t in enumerate(texts):
+            words = t.split()
+            spans = [tuple(map(int, x.split(":"))) for x in got[i]["spans"].split(",")]
+            starts = [k for k, w in enumerate(words) if w == "w0"]
+            assert len(spans) == len(starts) == got[i]["n_spans"], (parts, i, spans, starts)
+            assert all(abs(a - k) <= 5 and abs(b - k - n + 1) <= 5 for (a, b), k in zip(spans, starts, strict=True)), (parts, i, spans, starts)
+
+
 def test_compact_windows_are_the_cartesian_tree():
     for _ in range(30):
         a = [RNG.randint(1, 6) for _ in range(RNG.randint(1, 25))]
