@@ -270,6 +270,13 @@ def test_passages_at_several_places_of_a_document(spark, n):
             assert all(abs(a - k) <= 5 and abs(b - k - n + 1) <= 5 for (a, b), k in zip(spans, starts, strict=True)), (parts, i, spans, starts)
 
 
+def test_regions_of_many_interleaved_diagonals(spark):
+    # eight diagonals, each met by ten windows that take turns
+    windows = [(1, 2, *(int(substring_windows.packed(c - 30, c, c + 30)) for c in (1000 + 40 * k + 5 * d, 1000 + 40 * k + 5 * d + 500 * d))) for k in range(10) for d in range(8)]
+    got = substring_windows.candidates(spark.createDataFrame(windows, "a long, b long, sa long, sb long")).collect()
+    assert sorted((r["a0"], r["a1"], r["b0"], r["b1"]) for r in got) == [(970 + 5 * d, 1390 + 5 * d, 970 + 505 * d, 1390 + 505 * d) for d in range(8)]
+
+
 def test_compact_windows_are_the_cartesian_tree():
     for _ in range(30):
         a = [RNG.randint(1, 6) for _ in range(RNG.randint(1, 25))]
