@@ -277,6 +277,20 @@ def test_regions_of_many_interleaved_diagonals(spark):
     assert sorted((r["a0"], r["a1"], r["b0"], r["b1"]) for r in got) == [(970 + 5 * d, 1390 + 5 * d, 970 + 505 * d, 1390 + 505 * d) for d in range(8)]
 
 
+def test_members_meet_where_they_have_common_ranges():
+    rng, yes = random.Random(10), 0
+    for _ in range(300):
+        w = [f"w{i}" for i in range(rng.randint(45, 100))]
+        x, y = (substring_windows.tokens(" ".join(edited(w, rng, rng.randint(0, 3))).encode()) for _ in range(2))
+        k = np.argsort(y)
+        got = substring_windows.meets(x, y, k, y[k], True)
+        yes += got
+        found = substring_windows.common(x, y)
+        # a range whose partner is shorter than the shortest passage need not meet
+        assert bool(found) if got else all(b - a < 36 for _, _, a, b in found)
+    assert 50 < yes < 280
+
+
 def test_compact_windows_are_the_cartesian_tree():
     for _ in range(30):
         a = [RNG.randint(1, 6) for _ in range(RNG.randint(1, 25))]
