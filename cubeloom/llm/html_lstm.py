@@ -35,6 +35,7 @@ DIMS = PATH_DIMS + WORD_DIMS + FIGURES
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg math object textarea title head".split())
+SWALLOWS = frozenset("script style textarea title".split())  # without an end they go on to the end of the page
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
@@ -84,9 +85,10 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             if tag not in INLINE:
                 flush()
             if tag in RAW:
-                if tag != "head":
+                empty = tag in ("svg", "math") and (m[2] or m[5] or "").endswith("/")
+                if tag != "head" and not empty:
                     end = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(page, at)
-                    at = end.end() if end else len(page)
+                    at = end.end() if end else len(page) if tag in SWALLOWS else at
                 continue
             if tag in CLOSES_P and any(t == "p" for t, _ in stack):
                 close("p")

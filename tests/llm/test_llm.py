@@ -198,6 +198,13 @@ def test_passages(docs):
     assert {11, 12} <= {got[i]["doc_id"] for i in (11, 12) if got[i]["class_id"] == 4} and got[3]["n_spans"] == 0 and got[7]["n_spans"] == 0
 
 
+def test_html_raw_tags_without_an_end():
+    for tag in ("<svg width='1'/>", "<math/>", "<svg/><p>two</p><svg><text>no</text></svg>", "<noscript>", "<object data=x>", "<template>", "<iframe src=x>"):
+        got = [x[1] for x in html_lstm.blocks(f"<p>one</p>{tag}<p>last</p>")]
+        assert got == (["one", "two", "last"] if "two" in tag else ["one", "last"]), tag
+    assert [x[1] for x in html_lstm.blocks("<p>one</p><script>var a = '<p>no</p>'")] == ["one"]
+
+
 def edited(words, rng, edits):
     out = list(words)
     for _ in range(edits):
