@@ -279,19 +279,32 @@ def links_between(nodes: DataFrame, distance: int = DISTANCE, parts: int = PARTS
     return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "u long, v long")
 
 
+def labelled(fps: DataFrame, distance: int) -> DataFrame:
+    """fp, label, component_id of every distinct fingerprint; label tells groups apart also where no member has an id."""
+    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("id")))
+    label = components(links_between(nodes, distance)).withColumnRenamed("node", "fp")
+    named = nodes.join(label, "fp", "left").select("fp", "id", F.coalesce("label", "fp").alias("label"))
+    return named.join(named.groupBy("label").agg(F.min("id").alias("component_id")), "label").select("fp", "label", "component_id")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id."""
     fps = cut(fingerprints(docs, id_col, text_col))
-    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("id")))
-    label = components(links_between(nodes, distance)).withColumnRenamed("node", "fp")
-    labelled = nodes.join(label, "fp", "left").select("fp", "id", F.coalesce("label", "fp").alias("label"))
-    named = labelled.join(labelled.groupBy("label").agg(F.min("id").alias("component_id")), "label").select("fp", "component_id")
+    named = labelled(fps, distance).select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """The rows of ``docs``, all columns, one of each group: that with the smallest id. Rows that repeat an id and a text
-    stay once. Rows without an id stay, once for each text, only if their group has no id at all."""
-    stay = near_groups(docs, id_col, text_col, distance).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stays")).distinct()
-    kept = docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("__stays")), "left_semi")
+    """The rows of ``docs``, all columns, one of each group: that with the smallest id (a row without an id only if no
+    member has one), and of rows with that id the one whose text has the smallest hash."""
+
+    def run(batches):
+        for batch in batches:
+            fps = np.array([fingerprint(t) for t in texts_of(batch.column(1))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps)], ["doc_id", "h", "fp"])
+
+    rows = cut(picked(docs, id_col, text_col).select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(run, "doc_id long, h long, fp long"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("x")
+    stay = rows.join(labelled(rows, distance).select("fp", "label"), "fp").groupBy("label").agg(first).select(F.col("x.doc_id").alias("__stays"), F.col("x.h").alias("__text"))
+    kept = docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("__stays")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__text")), "left_semi")
     return kept.dropDuplicates([id_col, text_col])

@@ -198,6 +198,14 @@ def test_passages(docs):
     assert {11, 12} <= {got[i]["doc_id"] for i in (11, 12) if got[i]["class_id"] == 4} and got[3]["n_spans"] == 0 and got[7]["n_spans"] == 0
 
 
+def test_one_representative_of_each_group(spark):
+    rng = random.Random(12)
+    a, b, c, d = (" ".join(f"v{rng.random()}" for _ in range(300)) for _ in range(4))
+    rows = [(None, a), (None, a.upper()), (3, b), (None, b), (5, c), (5, c.upper()), (5, d), (6, d)]
+    got = [(r["doc_id"], r["text"].lower()) for r in simhash_dedup.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted([(None, a), (3, b), (5, c), (5, d)], key=str)
+
+
 def test_html_raw_tags_without_an_end():
     for tag in ("<svg width='1'/>", "<math/>", "<svg/><p>two</p><svg><text>no</text></svg>", "<noscript>", "<object data=x>", "<template>", "<iframe src=x>"):
         got = [x[1] for x in html_lstm.blocks(f"<p>one</p>{tag}<p>last</p>")]
