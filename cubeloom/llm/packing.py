@@ -11,7 +11,8 @@ Packing is local to a task, in pools of bounded tokens, so no row is shuffled an
 again. Sequence ids carry the partition number above ``SEQ_BITS``.
 
 Defined cases: null or empty text is one document of the end id alone; a null doc_id is kept; repeated rows
-are packed as documents of their own; no rows give no rows.
+are packed as documents of their own; a very long text is cut into whole windows; documents of equal length are packed
+in the order in which the task reads them; no rows give no rows; only two columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ END_ID = 2
 POOL_TOKENS = 2_000_000
 STEP_TOKENS = 65_536
 SEQ_BITS = 33
-CACHE_WORDS = 1_600_000
+CACHE_WORDS = 800_000  # remembered by a task, and forgotten when it ends
 CACHED_BYTES = 64  # longer words are not remembered
 PLAIN = re.compile(r"[a-zß-öø-ÿ]+[!-/:-@\[-`{-~]*").fullmatch  # letters that no rule changes, then marks
 JOINED_WORDS = 4096  # new words encoded in one call
@@ -104,6 +105,9 @@ class WordEncoder:
                 return [data[s:e] for s, e in zip([0, *(ends + 4).tolist()], [*ends.tolist(), len(data)], strict=True)]
         return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def forget(self) -> None:
+        self.known, self.older = {}, {}
+
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         known = self.learn(set().union(*split))
@@ -195,16 +199,19 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         part = TaskContext.get().partitionId()
         state = {"seq": 0, "step": 0}
         names, ids, held = [], [], 0
-        for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
-            for a in range(0, len(texts), 1024):
-                for key, got in zip(keys[a : a + 1024], words.encode(texts[a : a + 1024]), strict=True):
-                    names.append(key)
-                    ids.append(np.append(got, np.array([end_id], "<u4")))
-                    held += len(ids[-1])
-                if held >= POOL_TOKENS:
-                    yield pool(names, ids, part, state)
-                    names, ids, held = [], [], 0
+        try:
+            for batch in batches:
+                keys, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
+                for a in range(0, len(texts), 1024):
+                    for key, got in zip(keys[a : a + 1024], words.encode(texts[a : a + 1024]), strict=True):
+                        names.append(key)
+                        ids.append(np.append(got, np.array([end_id], "<u4")))
+                        held += len(ids[-1])
+                    if held >= POOL_TOKENS:
+                        yield pool(names, ids, part, state)
+                        names, ids, held = [], [], 0
+        finally:
+            words.forget()  # an idle worker holds no words
         if names:
             yield pool(names, ids, part, state)
 
