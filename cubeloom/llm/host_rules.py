@@ -7,8 +7,9 @@ beta prior whose strength is fitted by moments, and where the shrunk rate of a r
 ``max_rate`` the host's documents that break this rule are rejected. A document that breaks no rule
 is kept on any host.
 
-Defined cases: null text has no words (so it fails); a null host is a host of its own; repeated rows
-are judged one by one; an empty table gives no rows; other columns are left alone.
+Defined cases: null text has no words (so it fails); a null doc_id is kept as it is; a null host is a host of its own;
+repeated rows are judged one by one; a rate of exactly ``max_rate`` is not enforced; very long texts are read whole, as
+one row's arrays; an empty table gives no rows; other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .common import SPACES, cut
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
+BROADCAST_BYTES = 8_000_000  # of hosts on which a rule is enforced
+SALTS = 64  # keys over which a host's documents are dealt if these hosts are more
 #: name -> breaks the rule, over the columns of measures().
 HOST_RULES = {
     "symbols": "10 * n_symbols > word_chars",
@@ -105,9 +108,19 @@ def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", max
         F.struct(*(F.expr(_over(rule)).alias(name) for name, rule in HOST_RULES.items())).alias("breaks"),
     )
     judged = cut(judged)
-    enforced = host_rates(judged).where(F.col("rate") > max_rate).groupBy("host").agg(F.collect_set("rule").alias("enforced"))
+    enforced = cut(host_rates(judged).where(F.col("rate") > max_rate).groupBy("host").agg(F.collect_set("rule").alias("enforced")))
     rejected = F.coalesce(F.exists(F.array(*(F.when(F.col(f"breaks.{r}"), F.lit(r)) for r in HOST_RULES)), lambda r: F.array_contains(F.col("enforced"), r)), F.lit(False))
-    return judged.join(enforced, "host", "left").select("own.*", *(f"q.{c}" for c in MEASURES[:5]), "base_failed", (~F.col("base_failed") & ~rejected).alias("kept"))
+    return with_verdicts(judged, enforced).select("own.*", *(f"q.{c}" for c in MEASURES[:5]), "base_failed", (~F.col("base_failed") & ~rejected).alias("kept"))
+
+
+def with_verdicts(judged: DataFrame, enforced: DataFrame, most_bytes: int = BROADCAST_BYTES, salts: int = SALTS) -> DataFrame:
+    """Documents with the rules that are enforced on their host, if any. Only hosts with an enforced rule stand in that
+    table; while their names fit ``most_bytes`` it is broadcast, so documents stay where they are. Beyond that each host's
+    documents are dealt over ``salts`` keys, so that a host with a third of all documents is not one task's."""
+    if enforced.agg(F.coalesce(F.sum(F.octet_length("host.host") + 64), F.lit(0))).first()[0] <= most_bytes:
+        return judged.join(F.broadcast(enforced), "host", "left")
+    dealt = judged.withColumn("salt", F.pmod(F.xxhash64("own", "q"), F.lit(salts)))
+    return dealt.join(enforced.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>"))), ["host", "salt"], "left")
 
 
 def _over(rule: str) -> str:
