@@ -288,7 +288,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             z = pa.array([zlib.compress(t, 1) for t in texts_of(batch.column(k))], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(i) if i != k else z for i in range(batch.num_columns)], ["doc_id", "th", "z"] + carry)
 
-    codes = first_contexts(keyed, size, gram).groupBy("doc_id", "th").agg(F.collect_list("code").alias("codes"))
+    # written, so that the shuffle of all contexts is released before texts are shuffled
+    codes = cut(first_contexts(keyed, size, gram).groupBy("doc_id", "th").agg(F.collect_list("code").alias("codes")))
     codes = codes.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "codes")
     packed = keyed.mapInArrow(squeeze, "doc_id long, th int, z binary" + carried)
     both = packed.join(codes, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left").select("doc_id", "th", "z", "codes", *carry)
