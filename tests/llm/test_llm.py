@@ -345,27 +345,62 @@ def test_suffix_sort():
         assert sorted(sa.tolist()) == list(range(len(text))) and suffixes == sorted(suffixes)
 
 
+def regex_spans(t):
+    """By the re module: every group of rules on its own, leftmost and without overlaps."""
+    out = []
+    for group in secret_scan.RULES:
+        rx = re.compile("|".join(f"(?P<k{i}>{r[1]})" for i, r in enumerate(group)), re.A | (re.I if group[0][2] else 0))
+        for m in rx.finditer(t):
+            rule = group[int(m.lastgroup[1:])]
+            if len(secret_scan.value_of(m[0].encode()) if rule[0] == "assign" else m[0]) >= rule[3]:
+                out.append((m.start(), secret_scan.KINDS.index(rule[0]), m.end()))
+    return sorted(out)
+
+
 def test_secrets(docs):
     got = by_id(secret_scan.scan(docs))
+    contract = [(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I, 2, 6), (r"AKIA[A-Z0-9]+", 0, 0, 20), (r"[0-9a-f]+", 0, 0, 24)]
     for i, t in TEXTS.items():
-        t, spans = t or "", []
-        for r, (_, rx, fold, group, least, _) in enumerate(secret_scan.RULES):
-            spans += [(m.start(), r, m.end()) for m in re.finditer(rx, t, (re.I if fold else 0) | re.A) if len(m[group]) >= least]
-        spans.sort()
-        assert got[i]["spans"] == secret_scan.said(spans)
-        base = [s for s in spans if s[1] < 3]
+        t = t or ""
+        assert got[i]["spans"] == secret_scan.said(regex_spans(t))
+        base = sorted((m.start(), r, m.end()) for r, (rx, flags, group, least) in enumerate(contract) for m in re.finditer(rx, t, flags | re.A) if len(m[group]) >= least)
         assert got[i]["base_sha256"] == hashlib.sha256(secret_scan.said(base).encode()).hexdigest()
     assert (got[8]["n_assign"], got[8]["n_access"], got[8]["n_hex"]) == (1, 1, 1)
     masked = {r["doc_id"]: r["text"] for r in secret_scan.masked(docs).collect()}
     assert "24be6443" not in masked[8] and masked[0] is None and masked[4] == TEXTS[4]
 
 
+def spans_of(texts):
+    data = [t.encode() for t in texts]
+    return secret_scan.spans_in(secret_scan.automaton(), np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+
+
+def test_secret_spans_of_odd_texts():
+    rng = random.Random(3)
+    parts = ["password", "secret", "token", "api_key", "APIKEY", '"', "'", " ", "  ", ":", "=", "é", "\n", "AKIA", "ASIA", "abcdef0123456789", "0123456789abcdef01234567", "ghp_", "eyJ", ".", ".eyJ", "Abc9" * 10, "-", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "sk_live_", "AIza", "hf_", "SG.", "xoxb-", "sq0abc-", "日本", "Z" * 20]
+    for k in range(300):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(300 if k == 0 else 3)]
+        assert spans_of(texts) == [regex_spans(t) for t in texts]
+
+
+def test_secrets_of_very_long_texts():
+    import time
+
+    for text, n in (("plain words and more. " * 450_000, 0), ("Zq9" * 3_300_000, 0), ("a" * 10_000_000, 1), ('token = "abcdefgh" é ' * 400_000, 400_000)):
+        began = time.process_time()
+        got = spans_of([text])[0]
+        assert len(got) == n and time.process_time() - began < 20
+        assert n == 0 or text[got[-1][0] : got[-1][2]] in ("a" * 10_000_000, 'token = "abcdefgh')
+
+
 def test_automaton_agrees_with_re():
     rules = [(r"a(b|c)*d{2,3}", False), (r"[x-z]+\x20?q", True)]
-    auto = automaton.compile_rules(rules)
+    auto = automaton.compile_rules([[r] for r in rules])
     for _ in range(300):
         s = bytes(RNG.choice(b"abcdxyzq Q") for _ in range(RNG.randint(0, 12)))
-        assert auto.scan(s) == sum(1 << k for k, (rx, fold) in enumerate(rules) if re.search(rx.encode(), s, re.I if fold else 0))
+        got = automaton.matches(auto, np.frombuffer(s, np.uint8), np.array([0, len(s)]), np.array([0, 1]))
+        for (_, start, end), (rx, fold) in zip(got, rules, strict=True):
+            assert list(zip(start.tolist(), end.tolist(), strict=True)) == [m.span() for m in re.finditer(rx.encode(), s, re.I if fold else 0)], s
 
 
 def test_media(docs):
