@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,27 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def thrifty(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
+    """``run`` over the batches of a task; at its end the worker gives the memory it no longer uses back to the system.
+    Workers outlive their tasks, and what idle ones hold on to is missing from the next stage."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU C library has it
+    if trim:
+        trim(0)
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null becomes empty."""
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import thrifty
+
 TRAIN_PAGES = 600
 HIDDEN = 16
 PATH_DIMS = 256
@@ -373,4 +375,4 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 texts = extract([h or "" for h in part.column(2).to_pylist()], network)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).mapInArrow(thrifty(run), "page_id long, url string, text string, n_chars long")

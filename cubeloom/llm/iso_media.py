@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import picked, texts_of
+from .common import picked, texts_of, thrifty
 
 FRAME = 576  # bytes of a sample
 KEY_EVERY = 16  # every so many samples one is a sync sample
@@ -172,7 +172,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), ranges]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "duration_s", "key_ranges"])
 
-    return picked(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+    return picked(docs, id_col, text_col).mapInArrow(thrifty(run), SCHEMA)
 
 
 def describe(text: bytes) -> tuple:

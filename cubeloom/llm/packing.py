@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import picked, texts_of
+from .common import picked, texts_of, thrifty
 
 TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
@@ -234,4 +234,4 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             return pa.RecordBatch.from_arrays([*arrays, pa.array(cols[9], pa.list_(pa.int32()))], [*NAMES, "ids"])
         return pa.RecordBatch.from_arrays(arrays, NAMES)
 
-    return picked(docs, id_col, text_col).mapInArrow(run, SCHEMA + (", ids array<int>" if with_ids else ""))
+    return picked(docs, id_col, text_col).mapInArrow(thrifty(run), SCHEMA + (", ids array<int>" if with_ids else ""))

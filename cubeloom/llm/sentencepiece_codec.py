@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import picked
+from .common import picked, thrifty
 
 MARK = "▁"
 CACHE_WORDS = 800_000
@@ -364,7 +364,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
                 ]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_ids", "ids_crc32", "decoded_sha256", "round_trip", "ids"])
 
-    return picked(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+    return picked(docs, id_col, text_col).mapInArrow(thrifty(run), SCHEMA)
 
 
 def decoded(encoded_rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
@@ -376,4 +376,4 @@ def decoded(encoded_rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids
             texts = [s.decode(np.array(x, np.int64)) if x else "" for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded_rows.select(encoded_rows[id_col].cast("long").alias("doc_id"), encoded_rows[ids_col].cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return encoded_rows.select(encoded_rows[id_col].cast("long").alias("doc_id"), encoded_rows[ids_col].cast("array<int>").alias("ids")).mapInArrow(thrifty(run), "doc_id long, text string")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, picked, texts_of
+from .common import cut, picked, texts_of, thrifty
 from .graph import components
 
 DISTANCE = 4
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(t) for t in texts_of(batch.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
 
-    return picked(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return picked(docs, id_col, text_col).mapInArrow(thrifty(run), "doc_id long, fp long")
 
 
 def longs(batch: pa.RecordBatch, k: int) -> np.ndarray:
@@ -74,7 +74,7 @@ def correlated_parts(nodes: DataFrame, parts: int = PARTS) -> list[list[int]]:
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(4097)), pa.array(np.append(total.reshape(-1), n))], ["k", "n"])
 
-    got = dict(nodes.select("fp").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n")).collect())  # 4097 rows at most
+    got = dict(nodes.select("fp").mapInArrow(thrifty(run), "k long, n long").groupBy("k").agg(F.sum("n")).collect())  # 4097 rows at most
     n = max(1, got.get(4096, 0))
     both = np.array([got.get(k, 0) for k in range(4096)], float).reshape(64, 64) / n
     p = np.diag(both)
@@ -114,7 +114,7 @@ def histograms(nodes: DataFrame, parts: list[list[int]]) -> list[np.ndarray]:
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(at.astype(np.int32)), pa.array(c[at])], ["part", "value", "n"])
 
-    got = nodes.select("fp").mapInArrow(run, "part int, value int, n long").groupBy("part", "value").agg(F.sum("n").alias("n")).toArrow()
+    got = nodes.select("fp").mapInArrow(thrifty(run), "part int, value int, n long").groupBy("part", "value").agg(F.sum("n").alias("n")).toArrow()
     out = [np.zeros(s, np.int64) for s in sizes]
     part, value, n = (got.column(c).to_numpy() for c in ("part", "value", "n"))
     for i in range(len(parts)):
@@ -207,7 +207,7 @@ def bucket_rows(nodes: DataFrame, parts: list[list[int]], counts: list[np.ndarra
         bucket = (block * len(parts) + i) * (1 << max(widths)) + value
         return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(fps), pa.array(role.astype(np.int8))], ["bucket", "fp", "role"])
 
-    return nodes.select("fp").mapInArrow(run, "bucket long, fp long, role byte")
+    return nodes.select("fp").mapInArrow(thrifty(run), "bucket long, fp long, role byte")
 
 
 def forest(fps: np.ndarray, distance: int) -> list[np.ndarray]:
@@ -276,7 +276,7 @@ def links_between(nodes: DataFrame, distance: int = DISTANCE, parts: int = PARTS
         got = verified(*rows, distance).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["u", "v"])
 
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "u long, v long")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(thrifty(run), "u long, v long")
 
 
 def labelled(fps: DataFrame, distance: int) -> DataFrame:
@@ -303,7 +303,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             fps = np.array([fingerprint(t) for t in texts_of(batch.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps)], ["doc_id", "h", "fp"])
 
-    rows = cut(picked(docs, id_col, text_col).select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(run, "doc_id long, h long, fp long"))
+    rows = cut(picked(docs, id_col, text_col).select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(thrifty(run), "doc_id long, h long, fp long"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("x")
     stay = rows.join(labelled(rows, distance).select("fp", "label"), "fp").groupBy("label").agg(first).select(F.col("x.doc_id").alias("__stays"), F.col("x.h").alias("__text"))
     kept = docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("__stays")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__text")), "left_semi")

@@ -23,13 +23,12 @@ import hashlib
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, cut, texts_of
+from .common import bytes_of, cut, texts_of, thrifty
 from .suffix_sort import common_prefixes, joined, suffix_array
 
 SIZE = 100
@@ -189,8 +188,8 @@ def first_contexts(keyed: DataFrame, size: int, gram: int) -> DataFrame:
         code = (sub - (th << 32)) * 2 + shared
         return pa.RecordBatch.from_arrays([ids, pa.array(th.astype(np.int32)), pa.array(code)], ["doc_id", "th", "code"])
 
-    found = keyed.select("doc_id", "th", "text").mapInArrow(find, "h long, c long, doc_id long, sub long")
-    return found.repartition("h").sortWithinPartitions("h", "c", "doc_id", "sub").mapInArrow(firsts, "doc_id long, th int, code long")
+    found = keyed.select("doc_id", "th", "text").mapInArrow(thrifty(find), "h long, c long, doc_id long, sub long")
+    return found.repartition("h").sortWithinPartitions("h", "c", "doc_id", "sub").mapInArrow(thrifty(firsts), "doc_id long, th int, code long")
 
 
 def covered_runs(n: int, free: np.ndarray, size: int) -> np.ndarray:
@@ -219,32 +218,22 @@ def without_runs(text: bytes, runs: np.ndarray) -> bytes:
 
 
 
-def whole_characters(kept):
-    """Bytes as text without characters that a cut has parted."""
-
-    @F.pandas_udf("string")
-    def decode(data: pd.Series) -> pd.Series:
-        return data.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
-    return decode(kept)
-
-
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, gram: int = GRAM, many: int = MANY, rest: list | None = None, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row; kept (the bytes left) if ``with_text``, and the
-    columns ``rest`` of the input in a struct of that name."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row; kept (the text left, without characters that a
+    cut has parted) if ``with_text``, and the columns ``rest`` of the input in a struct of that name."""
     rest = rest or []  # names or columns
     carry = ["rest"] if rest else []
     keyed = _key(docs, id_col, text_col, rest)
-    own = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
+    own = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if with_text else "")
     carried = ", rest " + keyed.schema["rest"].dataType.simpleString() if rest else ""
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
 
     def result(text: bytes, free: np.ndarray) -> tuple:
         runs = covered_runs(len(text), free, size)
         kept = without_runs(text, runs)
-        return len(text), int((runs[:, 1] - runs[:, 0]).sum()), len(runs), hashlib.sha256(kept).hexdigest(), *([kept] if with_text else [])
+        return len(text), int((runs[:, 1] - runs[:, 0]).sum()), len(runs), hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "ignore")] if with_text else [])
 
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.binary()] * with_text
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.string()] * with_text
 
     def columns(results: list) -> list[pa.Array]:
         cols = list(zip(*[r or (None,) * len(kinds) for r in results], strict=True)) or [()] * len(kinds)
@@ -293,9 +282,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # written, so that the shuffle of all contexts is released before texts are shuffled
     codes = cut(first_contexts(keyed, size, gram).groupBy("doc_id", "th").agg(F.collect_list("code").alias("codes")))
     codes = codes.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "codes")
-    packed = keyed.mapInArrow(squeeze, "doc_id long, th int, z binary" + carried)
+    packed = keyed.mapInArrow(thrifty(squeeze), "doc_id long, th int, z binary" + carried)
     both = packed.join(codes, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left").select("doc_id", "th", "z", "codes", *carry)
-    settled = cut(both.mapInArrow(settle, own.replace("doc_id long", "doc_id long, th int") + ", z binary, free binary, contexts array<struct<h:long,first:long,bytes:binary>>" + carried))
+    settled = cut(both.mapInArrow(thrifty(settle), own.replace("doc_id long", "doc_id long, th int") + ", z binary, free binary, contexts array<struct<h:long,first:long,bytes:binary>>" + carried))
 
     open_rows = settled.where("contexts is not null")
     contexts = open_rows.select("doc_id", "th", F.explode("contexts").alias("x")).select("doc_id", "th", "x.h", "x.first", "x.bytes")
@@ -312,7 +301,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays(cols + ([batch.column(4)] if carry else []), names + carry)
 
     joined_rows = open_rows.join(freed, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left").select("doc_id", "z", "free", "more", *carry)
-    last_rows = joined_rows.mapInArrow(finish, own + carried)
+    last_rows = joined_rows.mapInArrow(thrifty(finish), own + carried)
     return settled.where("contexts is null").select(*names, *carry).unionByName(last_rows)
 
 
@@ -342,7 +331,7 @@ def free_windows(contexts: DataFrame, size: int, many: int) -> DataFrame:
         doc, th, base = pa.array([r[1] for r in rows], pa.int64()), np.array([r[2] for r in rows], np.int32), np.array([r[3] for r in rows], np.int64)
         return pa.RecordBatch.from_arrays([doc.take(pa.array(owner)), pa.array(th[owner]), pa.array(base[owner] + first), pa.array(base[owner] + last)], ["doc_id", "th", "first", "last"])
 
-    out = usual.repartition("h").sortWithinPartitions("h").mapInArrow(sort, "doc_id long, th int, first long, last long")
+    out = usual.repartition("h").sortWithinPartitions("h").mapInArrow(thrifty(sort), "doc_id long, th int, first long, last long")
 
     def windows(batches):
         for batch in batches:
@@ -354,7 +343,7 @@ def free_windows(contexts: DataFrame, size: int, many: int) -> DataFrame:
             at = pa.array(ids, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rest_of], pa.binary()), batch.column(0).take(at), batch.column(1).take(at), pa.array([r[1] for r in rest_of], pa.int64())], ["w", "doc_id", "th", "first"])
 
-    busy = contexts.join(crowded, "h", "left_semi").select("doc_id", "th", "first", "bytes").mapInArrow(windows, "w binary, doc_id long, th int, first long")
+    busy = contexts.join(crowded, "h", "left_semi").select("doc_id", "th", "first", "bytes").mapInArrow(thrifty(windows), "w binary, doc_id long, th int, first long")
     busy = busy.groupBy("w").agg(F.min(F.struct("doc_id", "th", "first")).alias("x")).select("x.doc_id", "x.th", "x.first", F.col("x.first").alias("last"))
     return out.union(busy)
 
