@@ -32,7 +32,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A cut can part a character; what is left of one is dropped. Null text stays null."""
     rows = suffix_dedup.deduplicated(docs, rest=["lang", "source", F.isnull("text").alias("was_null")], with_text=True)
-    text = F.when(F.col("rest.was_null"), F.lit(None)).otherwise(suffix_dedup.whole_characters(F.col("kept")))
+    text = F.when(F.col("rest.was_null"), F.lit(None)).otherwise(F.col("kept"))
     return rows.select("doc_id", text.alias("text"), "rest.lang", "rest.source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
