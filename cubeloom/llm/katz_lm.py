@@ -1,18 +1,24 @@
-"""Katz backoff language model of word pairs, learnt from and applied to a whole corpus.
+"""Katz backoff language model of word n-grams, learnt from and applied to a whole corpus.
 
-Counts up to ``TOP`` are discounted by Good-Turing; what the discount frees is left to words not seen after a
-history, in proportion to their unigram probability, by a backoff weight that makes every history sum to one
-exactly. Unigrams leave their freed mass to one unknown word.
+Counts up to ``TOP`` are discounted by Good-Turing, order by order; what the discount frees is left to words not seen after
+a history, in proportion to their probability by the next lower order, by a backoff weight that makes every history sum to
+one exactly. Unigrams leave their freed mass to one unknown word. Orders go up to ``order``; the history of a text's first
+word is its beginning.
 
-Nothing that grows with the corpus is gathered in one place. Texts become blocks of word numbers. A block asks for
-the counts of its own distinct words, then of its own distinct pairs; requests carry the block's own counts, are
-dealt by hash to the tables of counts, which grow in number with the corpus, and are answered in the order they were
-asked. A history with so many followers that one table could not hold them is dealt over several tables by follower.
-Only counts of counts (2 * (TOP + 2) numbers) reach the driver.
+Nothing that grows with the corpus is gathered in one place. Texts become blocks of word numbers. Order by order a block
+asks tables for what it needs to know: of its distinct words the counts and a global number, of its distinct n-grams,
+named by the number of their history and of their last word, the counts and a number, and of their histories the
+figures from which weights follow. Requests carry the block's own counts; the tables, each a part of the model by hash of
+the history, add them up and are written to the shared folder. A history that no other block has is known
+there in full, with all n-grams that begin with it, and is not asked for. A history with so many followers that one
+table could not hold them is dealt over several tables by follower. A block sends one row to each table it asks, and
+never more rows than it has n-grams. Only counts of counts (TOP + 3 numbers an order) reach the driver.
+
+Words are told apart by 64-bit hashes; n-grams by exact numbers.
 
 Defined cases: null or empty text is the end token alone; a null doc_id counts as empty text for the fold; rows that
-repeat are counted as often as they come; an empty table gives no rows; without any training text all words are
-unknown and have probability one. Only two columns are read.
+repeat are counted as often as they come; a very long text is a block of its own; an empty table gives no rows; without any
+training text all words are unknown and have probability one. Only two columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -26,13 +32,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, picked, texts_of
+from .common import cut, picked, texts_of, thrifty
 
 TOP = 5  # counts up to this are discounted
 BLOCK_BYTES = 16_000_000
 FOLDS, HELD_OUT = 5, 1
-END, START = 1, 2  # stand for hashes of the end of a text and of its beginning
-LOW48 = np.uint64((1 << 48) - 1)
+ORDER = 3
+CROWD = 100_000  # a history seen more often may be dealt over several tables
+END = 1  # stands for the hash of the end of a text
+WORD_BITS = 40  # of a word's number
 FORMAT = "<u8"
 
 
@@ -88,37 +96,107 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         ]
         return pa.RecordBatch.from_arrays(cols, ["block", "ids", "known_ids", "sizes", "tokens", "words"])
 
-    return picked(docs, id_col, text_col).mapInArrow(run, BLOCK_SCHEMA)
+    return picked(docs, id_col, text_col).mapInArrow(thrifty(run), BLOCK_SCHEMA)
+
+
+class Grams:
+    """The distinct n-grams of a block: local numbers of history and last word, of the n-gram one word shorter (``low``), training
+    counts here, and the n-gram of each token (-1: none). Then, from the tables, ``count`` over all blocks, ``number``, and whether other blocks have it (``shared``)."""
+
+    def __init__(self, b: Block, low: Grams | None):
+        if low is None:  # words
+            self.at = b.tokens
+            self.own = np.bincount(b.tokens[b.train], minlength=len(b.words))
+            return
+        first = low.history is None
+        history = np.append(-1, low.at[:-1])
+        history[b.begin] = len(low.own) if first else -1  # the beginning of the text
+        some = np.flatnonzero(history >= 0)
+        key, index, inverse = np.unique(history[some] * (len(b.words) + 1) + b.tokens[some], return_index=True, return_inverse=True)
+        inverse = inverse.reshape(-1)
+        self.history, self.word = key // (len(b.words) + 1), key % (len(b.words) + 1)
+        self.low = low.at[some[index]]
+        self.own = np.bincount(inverse[b.train[some]], minlength=len(key))
+        self.at = np.full(len(b.tokens), -1)
+        self.at[some] = inverse
+        #: Of each history the count over all blocks, its number and whether other blocks have it; the beginning of texts is everywhere.
+        self.h_count = np.append(low.count, b.starts) if first else low.count
+        self.h_number = np.append(low.number, 0) if first else low.number
+        self.asked = (np.append(low.shared, True) if first else low.shared)[self.history]
+        self.count, self.number, self.shared = self.own.copy(), np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+        self.figures = figures_of(self.history[~self.asked], self.own[~self.asked], low.count[self.low[~self.asked]], len(self.h_count), b.d[low.order - 1])
+
+    history = None
+    order = 1
 
 
 class Block:
-    def __init__(self, row: dict):
+    """A block with the grams of the orders whose answers are given. ``d``: discounts by order, words first."""
+
+    def __init__(self, row: dict, starts: int = 0, d: list[np.ndarray] = (), tables: int = 1, crowd: int = 1, answers: list[dict] = (), order: int = 0):
         known = spread(row["known_ids"], "?")
         self.ids = [x if k else None for x, k in zip(spread(row["ids"], "<i8").tolist(), known.tolist(), strict=True)]
         self.sizes = spread(row["sizes"], "<i8")
         self.tokens = spread(row["tokens"], "<u4").astype(np.int64)
         self.words = np.frombuffer(row["words"], FORMAT)
         self.begin = np.cumsum(self.sizes) - self.sizes
-        train = np.array([fold(x) != HELD_OUT for x in self.ids])
-        self.train = np.repeat(train, self.sizes)
-
-    def word_counts(self) -> np.ndarray:
-        return np.bincount(self.tokens[self.train], minlength=len(self.words))
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """history and word of each distinct pair (the beginning is number len(words)), training count, pair of each token."""
-        n = len(self.words)
-        before = np.append(n, self.tokens[:-1])
-        before[self.begin] = n
-        pair, inverse = np.unique(before * (n + 1) + self.tokens, return_inverse=True)
-        inverse = inverse.reshape(-1)
-        return pair // (n + 1), pair % (n + 1), np.bincount(inverse[self.train], minlength=len(pair)), inverse
-
-    def histories(self) -> np.ndarray:
-        return np.append(self.words, np.uint64(START))
-
-
-REQUEST = "table long, block long, keys binary, counts binary"
+        self.train = np.repeat(np.array([fold(x) != HELD_OUT for x in self.ids]), self.sizes)
+        self.starts, self.d = starts, d
+        self.grams: list[Grams] = []
+        for n in range(1, order + 1):
+            self.grams.append(g := Grams(self, self.grams[-1] if self.grams else None))
+            g.order = n
+            got = [x["answer"] for x in sorted((x for x in answers if x["level"] == n), key=lambda x: x["table"])]
+            if n == 1:
+                g.count, g.number = np.zeros(len(g.own), np.int64), np.zeros(len(g.own), np.int64)
+                for (_, at), data in zip(self.asked_words(tables), got, strict=True):
+                    counts, numbers = unpacked(data)
+                    g.count[at], g.number[at] = spread(counts, "<i8"), spread(numbers, "<i8")
+                g.shared, g.number = g.number > 0, np.abs(g.number)
+            elif got:
+                for (_, mine, hist), data in zip(self.asked_grams(g, tables, crowd), got, strict=True):
+                    counts, shared, numbers, small, mass = unpacked(data)
+                    g.count[mine], g.shared[mine] = spread(counts, "<i8"), spread(shared, "?")
+                    g.number[mine[g.shared[mine]]] = np.cumsum(spread(numbers, "<i8"))
+                    g.figures[hist, : TOP + 1] += spread(small, "<i8").reshape(TOP + 1, -1).T
+                    g.figures[hist, TOP + 1] += spread(mass, "<f8")
+
+    def asked_words(self, tables: int) -> list[tuple[int, np.ndarray]]:
+        return dealt((mixed(self.words) % np.uint64(tables)).astype(np.int64), tables)
+
+    def asked_grams(self, g: Grams, tables: int, crowd: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(table, n-grams in the order of history's and word's number, histories by number). A history dealt over several
+        tables is asked for in each of them."""
+        mine = np.flatnonzero(g.asked)
+        hist = np.unique(g.history[mine])
+        wide = hist[g.h_count[hist] // crowd > 0]
+        thin = hist[g.h_count[hist] // crowd == 0]
+        spans = np.minimum(1 + g.h_count[wide] // crowd, tables)
+        k = np.arange(int(spans.sum())) - np.repeat(np.cumsum(spans) - spans, spans)
+        all_h = np.append(thin, np.repeat(wide, spans))
+        h_table = gram_tables(g.h_number[all_h], np.append(np.zeros(len(thin), np.int64), k), np.full(len(all_h), tables), tables)
+        spans = np.minimum(1 + g.h_count[g.history[mine]] // crowd, tables)
+        number = self.grams[0].number[g.word[mine]]
+        table = gram_tables(g.h_number[g.history[mine]], (mixed(number.astype(np.uint64)) % spans.astype(np.uint64)).astype(np.int64), spans, tables)
+        order = np.lexsort((number, g.h_number[g.history[mine]]))
+        by_table = {t: mine[order[at]] for t, at in dealt(table[order], tables)}
+        order = np.argsort(g.h_number[all_h], kind="stable")
+        none = np.zeros(0, np.int64)
+        return [(t, by_table.get(t, none), all_h[order[at]]) for t, at in dealt(h_table[order], tables)]
+
+
+def gram_tables(history: np.ndarray, part: np.ndarray, spans: np.ndarray, tables: int) -> np.ndarray:
+    """Where an n-gram is counted: by its history, and the part of it if the history is dealt over several tables."""
+    return ((mixed(history.astype(np.uint64)) % np.uint64(tables)).astype(np.int64) + part % spans) % tables
+
+
+REQUEST = "table long, block long, a binary, b binary, c binary, d binary, e binary"
+NAMES = [x.split()[0] for x in REQUEST.split(", ")]
+KINDS = (pa.int64(), pa.int64(), *[pa.binary()] * 5)
+
+
+def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*(r + (None,) * (7 - len(r)) for r in rows), strict=True), KINDS, strict=True)], NAMES)
 
 
 def dealt(table: np.ndarray, tables: int) -> list[tuple[int, np.ndarray]]:
@@ -133,11 +211,10 @@ def word_requests(rows: DataFrame, tables: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 b = Block(row)
-                counts = b.word_counts()
-                out = [(t, row["block"], b.words[at].tobytes(), squeezed(counts[at].astype("<u4"))) for t, at in dealt((mixed(b.words) % np.uint64(tables)).astype(np.int64), tables)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["table", "block", "keys", "counts"])
+                counts = np.bincount(b.tokens[b.train], minlength=len(b.words))
+                yield batch_of([(t, row["block"], b.words[at].tobytes(), squeezed(counts[at].astype("<u4"))) for t, at in b.asked_words(tables)])
 
-    return rows.mapInArrow(run, REQUEST)
+    return rows.mapInArrow(thrifty(run), REQUEST)
 
 
 ANSWER = "block long, table long, answer binary"
@@ -153,16 +230,36 @@ def counts_of_counts(counts: np.ndarray) -> np.ndarray:
     return np.append(np.bincount(np.minimum(counts, TOP + 2), minlength=TOP + 3)[1 : TOP + 2], [(counts > 0).sum(), counts.sum()]).astype("<i8")
 
 
-def word_answers(table: pa.Table) -> pa.Table:
-    """Each block's words' counts over all blocks; as block -1 the table's counts of counts."""
-    rows = table.to_pylist()
-    keys = [np.frombuffer(r["keys"], FORMAT) for r in rows]
-    words, at = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.zeros(len(words), np.int64)
-    np.add.at(total, at.reshape(-1), np.concatenate([spread(r["counts"], "<u4") for r in rows]))
-    parts = np.split(total[at.reshape(-1)], np.cumsum([len(k) for k in keys])[:-1])
-    out = [(r["block"], r["table"], squeezed(p.astype("<i8"))) for r, p in zip(rows, parts, strict=True)]
-    return answers([*out, (-1, rows[0]["table"], counts_of_counts(total).tobytes())])
+def framed(*parts: bytes) -> bytes:
+    return b"".join(len(x).to_bytes(8, "little") + x for x in parts)
+
+
+def unpacked(data: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 8], "little")
+        out.append(data[at + 8 : at + 8 + n])
+        at += 8 + n
+    return out
+
+
+def word_answers(tables: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Each block's words' counts over all blocks, and their numbers, small for frequent words; as block -1 the table's
+        counts of counts."""
+        rows = table.to_pylist()
+        keys = [np.frombuffer(r["a"], FORMAT) for r in rows]
+        words, at = np.unique(np.concatenate(keys), return_inverse=True)
+        at = at.reshape(-1)
+        total = np.bincount(at, weights=np.concatenate([spread(r["b"], "<u4") for r in rows])).astype(np.int64)
+        rank = np.empty(len(words), np.int64)
+        rank[np.lexsort((words, -total))] = np.arange(len(words))
+        number = (rank * tables + rows[0]["table"] + 1) * np.where(np.bincount(at) > 1, 1, -1)  # negative: no other block has it
+        edges = np.cumsum([len(k) for k in keys])[:-1]
+        out = [(r["block"], r["table"], framed(squeezed(c.astype("<i8")), squeezed(n.astype("<i8")))) for r, c, n in zip(rows, np.split(total[at], edges), np.split(number[at], edges), strict=True)]
+        return answers([*out, (-1, rows[0]["table"], counts_of_counts(total).tobytes())])
+
+    return run
 
 
 def totals(answered: DataFrame) -> np.ndarray:
@@ -207,150 +304,74 @@ class Unigrams:
         return np.where(counts > 0, self.d[np.minimum(counts, TOP + 1)] * counts * self.scale, self.unknown)
 
 
-def gathered(answered: DataFrame, name: str) -> DataFrame:
-    rows = answered.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("table", "answer")).alias(name))
-    return rows
-
+FIGURES = TOP + 2  # per history: types seen 1 .. TOP times, sum of counts above, discounted lower counts of its followers
 
-def in_order(parts: list[dict]) -> list[bytes]:
-    return [p["answer"] for p in sorted(parts, key=lambda p: p["table"])]
 
-
-def known_counts(b: Block, parts: list[dict], tables: int) -> np.ndarray:
-    out = np.zeros(len(b.words), np.int64)
-    asked = dealt((mixed(b.words) % np.uint64(tables)).astype(np.int64), tables)
-    for (_, at), data in zip(asked, in_order(parts), strict=True):
-        out[at] = spread(data, "<i8")
+def figures_of(history: np.ndarray, count: np.ndarray, low: np.ndarray, n: int, d: np.ndarray) -> np.ndarray:
+    """Of n histories, from their distinct followers' counts and counts of one order lower."""
+    out = np.zeros((n, FIGURES))
+    for r in range(1, TOP + 1):
+        out[:, r - 1] = np.bincount(history[count == r], minlength=n)
+    many, some = count > TOP, count > 0
+    out[:, TOP] = np.bincount(history[many], weights=count[many], minlength=n)
+    out[:, TOP + 1] = np.bincount(history[some], weights=(d[np.minimum(low, TOP + 1)] * low)[some], minlength=n)
     return out
 
 
-def pair_tables(h: np.ndarray, w: np.ndarray, h_count: np.ndarray, tables: int, crowd: int) -> np.ndarray:
-    """Where a pair is counted: by history, and for histories seen over ``crowd`` times also by word."""
-    spans = np.minimum(1 + h_count // crowd, tables).astype(np.uint64)
-    return ((mixed(h) + mixed(w) % spans) % np.uint64(tables)).astype(np.int64)
-
-
-def asked_pairs(b: Block, counts: np.ndarray, starts: int, tables: int, crowd: int):
-    """Sorted distinct pairs of a block by table: (table, pair numbers or -1 for a history alone, histories, words' low 48 bits).
-    A history that is dealt over several tables is asked for in each of them."""
-    h, w, c, inverse = b.pairs()
-    hashes = b.histories()
-    h_count = np.append(counts, starts)
-    table = pair_tables(hashes[h], hashes[w], h_count[h], tables, crowd)
-    wide = np.flatnonzero(h_count // crowd > 0)
-    wide = wide[np.isin(wide, h)]
-    spans = np.minimum(1 + h_count[wide] // crowd, tables)
-    extra_h = np.repeat(wide, spans)
-    k = np.arange(len(extra_h)) - np.repeat(np.cumsum(spans) - spans, spans)
-    extra_t = ((mixed(hashes[extra_h]) + k.astype(np.uint64)) % np.uint64(tables)).astype(np.int64)
-    number = np.append(np.arange(len(h)), np.full(len(extra_h), -1))
-    all_h = hashes[np.append(h, extra_h)]
-    all_w = np.append(hashes[w] & LOW48, np.zeros(len(extra_h), np.uint64))
-    table = np.append(table, extra_t)
-    out = []
-    for t, at in dealt(table, tables):
-        at = at[np.lexsort((all_w[at], all_h[at]))]
-        out.append((t, number[at], all_h[at], all_w[at]))
-    return out, (h, w, c, inverse)
-
-
-def six(x: np.ndarray) -> bytes:
-    return x.astype(FORMAT).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def of_six(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :6] = raw
-    return out.view(FORMAT).reshape(-1)
-
-
-def runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    new = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-    return new, np.diff(np.append(new, len(h)))
-
-
-PAIR_REQUEST = "table long, block long, h binary, n binary, w binary, counts binary, seen binary"
-
-
-def pair_requests(rows: DataFrame, starts: int, tables: int, crowd: int, word_tables: int) -> DataFrame:
-    """Histories once each with the number of their pairs; per pair the word, its training count here, and the count of
-    the word over all blocks, from which its unigram probability follows."""
+def gram_requests(rows: DataFrame, n: int, **given) -> DataFrame:
+    """Histories by number with the count of their n-grams; per n-gram the word's number, its training count here, and the
+    count of the n-gram one word shorter over all blocks. What is not asked for adds to the counts of counts only."""
+    tables, crowd = given["tables"], given["crowd"]
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                b = Block(row)
-                counts = known_counts(b, row["word_counts"], word_tables)
-                asked, (_, w, c, _) = asked_pairs(b, counts, starts, tables, crowd)
-                out = []
-                for t, number, h, low in asked:
-                    new, size = runs(h)
-                    real = number >= 0
-                    local = np.where(real, c[number], 0)
-                    word = np.where(real, counts[w[number]], 0)
-                    out.append((t, row["block"], h[new].tobytes(), squeezed(size.astype("<u4")), six(low), squeezed(local.astype("<u4")), squeezed(word.astype("<u4"))))
-                kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 5)
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["table", "block", "h", "n", "w", "counts", "seen"])
+                b = Block(row, answers=row["answers"], order=n - 1, **given)
+                g = Grams(b, b.grams[-1])
+                low = b.grams[-1].count
+                out = [(-1 - row["block"] % tables, row["block"], counts_of_counts(g.own[~g.asked]).tobytes())]
+                for t, mine, hist in b.asked_grams(g, tables, crowd):
+                    names = g.h_number[hist]
+                    size = np.bincount(np.searchsorted(names, g.h_number[g.history[mine]]), minlength=len(hist))
+                    out.append((t, row["block"], squeezed(np.diff(names, prepend=0).astype("<i8")), squeezed(size.astype("<u4")), squeezed(b.grams[0].number[g.word[mine]].astype("<i8")), squeezed(g.own[mine].astype("<u4")), squeezed(low[g.low[mine]].astype("<i8"))))
+                yield batch_of(out)
 
-    return rows.mapInArrow(run, PAIR_REQUEST)
+    return rows.mapInArrow(thrifty(run), REQUEST)
 
 
-FIGURES = TOP + 2  # per history: types seen 1 .. TOP times, sum of counts above, unigram mass of its followers
+def gram_answers(d: np.ndarray, tables: int):
+    """d: the discounts of one order lower."""
 
-
-def pair_answers(unigrams: Unigrams):
     def run(table: pa.Table) -> pa.Table:
-        """Per block its pairs' counts and its histories' figures; as block -1 the counts of counts."""
+        """Per block its n-grams' counts, which other blocks have too and the numbers of these, and its histories' figures; as
+        block -1 the counts of counts."""
         rows = table.to_pylist()
-        sizes = [spread(r["n"], "<u4") for r in rows]
-        own = [np.frombuffer(r["h"], FORMAT) for r in rows]
-        h = np.concatenate([np.repeat(a, s) for a, s in zip(own, sizes, strict=True)])
-        w = np.concatenate([of_six(r["w"]) for r in rows])
-        c = np.concatenate([spread(r["counts"], "<u4") for r in rows]).astype(np.int64)
-        seen = np.concatenate([spread(r["seen"], "<u4") for r in rows]).astype(np.int64)
-        order = np.lexsort((w, h))
-        new_h = np.append(True, h[order[1:]] != h[order[:-1]])
-        new = new_h | np.append(True, w[order[1:]] != w[order[:-1]])
-        group = np.cumsum(new) - 1
-        total = np.bincount(group, weights=c[order]).astype(np.int64)
-        back = np.empty(len(order), np.int64)
-        back[order] = total[group]
-        first = order[new]
-        history = np.cumsum(new_h[new]) - 1
-        figures = np.zeros((int(history[-1]) + 1, FIGURES))
-        for r in range(1, TOP + 1):
-            figures[:, r - 1] = np.bincount(history[total == r], minlength=len(figures))
-        many = total > TOP
-        figures[:, TOP] = np.bincount(history[many], weights=total[many], minlength=len(figures))
-        some = total > 0
-        figures[:, TOP + 1] = np.bincount(history[some], weights=unigrams.of(seen[first[some]]), minlength=len(figures))
-        names = h[order[new_h]]
-        ends = np.cumsum([int(s.sum()) for s in sizes])
+        at = rows[0]["table"]
+        if at < 0:
+            return answers([(-1, at, sum(np.frombuffer(r["a"], "<i8") for r in rows).tobytes())])
+        own = [np.cumsum(spread(r["a"], "<i8")) for r in rows]
+        sizes = [spread(r["b"], "<u4") for r in rows]
+        names, place = np.unique(np.concatenate(own), return_inverse=True)
+        h = np.repeat(place.reshape(-1), np.concatenate(sizes))
+        w = np.concatenate([spread(r["c"], "<i8") for r in rows])
+        if len(w) and (len(names) >= 1 << (63 - WORD_BITS) or w.max() >= 1 << WORD_BITS):
+            raise OverflowError("a table has too many histories or words")
+        gram, index, inverse = np.unique((h << WORD_BITS) + w, return_index=True, return_inverse=True)
+        inverse = inverse.reshape(-1)
+        total = np.bincount(inverse, weights=np.concatenate([spread(r["d"], "<u4") for r in rows]), minlength=len(gram)).astype(np.int64)
+        low = np.concatenate([spread(r["e"], "<i8") for r in rows])[index]
+        figures = figures_of(gram >> WORD_BITS, total, low, len(names), d)
+        counts, numbers, shared = total[inverse], inverse * tables + at + 1, (np.bincount(inverse, minlength=len(gram)) > 1)[inverse]
+        edges = np.cumsum([int(s.sum()) for s in sizes])[:-1]
         out = []
-        for r, mine, counts in zip(rows, own, np.split(back, ends[:-1]), strict=True):
-            at = np.searchsorted(names, mine)
-            numbers = np.concatenate([squeezed_len(x) for x in (counts.astype("<u4"), figures[at, : TOP + 1].T.astype("<i8"), figures[at, TOP + 1])])
-            out.append((r["block"], r["table"], numbers.tobytes()))
-        return answers([*out, (-1, rows[0]["table"], counts_of_counts(total[total > 0]).tobytes())])
+        for r, mine, c, k, s in zip(rows, np.split(place.reshape(-1), np.cumsum([len(x) for x in own])[:-1]), *(np.split(x, edges) for x in (counts, numbers, shared)), strict=True):
+            f = figures[mine]
+            out.append((r["block"], at, framed(squeezed(c.astype("<i8")), squeezed(s), squeezed(np.diff(k[s], prepend=0).astype("<i8")), squeezed(f[:, : TOP + 1].T.astype("<i8")), squeezed(f[:, TOP + 1]))))
+        return answers([*out, (-1, at, counts_of_counts(total).tobytes())])
 
     return run
 
 
-def squeezed_len(x: np.ndarray) -> np.ndarray:
-    data = squeezed(x)
-    return np.frombuffer(len(data).to_bytes(8, "little") + data, np.uint8)
-
-
-def unpacked(data: bytes) -> list[bytes]:
-    out, at = [], 0
-    while at < len(data):
-        n = int.from_bytes(data[at : at + 8], "little")
-        out.append(data[at + 8 : at + 8 + n])
-        at += 8 + n
-    return out
-
-
 def weights(figures: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per history the scale of its discounted counts and its backoff weight; a history never seen has weight 1.
     Where discounting leaves less than 1 / (n + 1), all counts of the history are scaled to leave that."""
@@ -367,46 +388,53 @@ def weights(figures: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_probabilities(b: Block, unigrams: Unigrams) -> np.ndarray:
+    """Of each token, by the longest history that the text gives it: p(w | u v) backs off to p(w | v), that to p(w)."""
+    p, scale = unigrams.of(b.grams[0].count), np.array([unigrams.scale])
+    out = p[b.tokens]
+    for low, g, d in zip(b.grams, b.grams[1:], b.d[1:], strict=False):
+        shorter = np.zeros(len(g.h_count), np.int64)  # the history of each history's followers one order lower
+        if low.history is not None:
+            shorter[g.history] = low.history[g.low]
+        g.figures[:, TOP + 1] *= scale[shorter]
+        scale, backoff = weights(g.figures, d)
+        p = np.where(g.count > 0, d[np.minimum(g.count, TOP + 1)] * g.count * scale[g.history], backoff[g.history] * p[g.low])
+        some = g.at >= 0
+        out[some] = p[g.at[some]]
+    return out
+
+
+def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 of the model's probability)."""
     rows = cut(blocks(docs, id_col, text_col))
     tables = max(1, rows.count())
-    counted = cut(word_requests(rows, tables).groupBy("table").applyInArrow(word_answers, ANSWER))
-    n1 = totals(counted)
-    unigrams, vocabulary, total = Unigrams(n1), int(n1[TOP + 1]), int(n1[TOP + 2])
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
-    starts = docs.where(~held).count()
-    crowd = max(100_000, total // (4 * tables))
-    with_words = rows.join(gathered(counted, "word_counts"), "block")
-    paired = cut(pair_requests(with_words, starts, tables, crowd, tables).groupBy("table").applyInArrow(pair_answers(unigrams), ANSWER))
-    d2 = discounts(totals(paired))
+    answered = [cut(word_requests(rows, tables).groupBy("table").applyInArrow(word_answers(tables), ANSWER))]
+    n1 = totals(answered[0])
+    unigrams, vocabulary, total = Unigrams(n1), int(n1[TOP + 1]), int(n1[TOP + 2])
+    given = {"starts": docs.where(~held).count(), "d": [discounts(n1)], "tables": tables, "crowd": max(CROWD, total // (4 * tables))}
+
+    def with_answers() -> DataFrame:
+        every = [x.where("block >= 0").select("block", F.struct(F.lit(n).alias("level"), "table", "answer").alias("x")) for n, x in enumerate(answered, 1)]
+        for x in every[1:]:
+            every[0] = every[0].union(x)
+        return rows.join(every[0].groupBy("block").agg(F.collect_list("x").alias("answers")), "block")
+
+    for n in range(2, order + 1):
+        asked = gram_requests(with_answers(), n, **given)
+        answered.append(cut(asked.groupBy("table").applyInArrow(gram_answers(given["d"][-1], tables), ANSWER)))
+        given["d"] = [*given["d"], discounts(totals(answered[-1]))]
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                yield score(Block(row), row["word_counts"], row["pair_counts"])
-
-    def score(b: Block, word_parts, pair_parts):
-        counts = known_counts(b, word_parts, tables)
-        p1 = unigrams.of(counts)
-        asked, (h, w, _, inverse) = asked_pairs(b, counts, starts, tables, crowd)
-        pair_count = np.zeros(len(h), np.int64)
-        hashes = b.histories()
-        order = np.argsort(hashes)
-        figures = np.zeros((len(hashes), FIGURES))
-        for (_, number, asked_h, _), data in zip(asked, in_order(pair_parts), strict=True):
-            got_counts, got_small, got_mass = unpacked(data)
-            real = number >= 0
-            pair_count[number[real]] = spread(got_counts, "<u4")[real]
-            at = order[np.searchsorted(hashes, asked_h[runs(asked_h)[0]], sorter=order)]
-            figures[at, : TOP + 1] += spread(got_small, "<i8").reshape(TOP + 1, -1).T
-            figures[at, TOP + 1] += spread(got_mass, "<f8")
-        scale, backoff = weights(figures, d2)
-        p2 = np.where(pair_count > 0, d2[np.minimum(pair_count, TOP + 1)] * pair_count * scale[h], backoff[h] * p1[w])
-        token_score = np.log10(p2)[inverse]
+                yield score(Block(row, answers=row["answers"], order=order, **given))
+
+    def score(b: Block):
+        counts = b.grams[0].count
         base = np.log10((counts + 0.5) / (total + 0.5 * (vocabulary + 1)))[b.tokens]
         add = lambda x: np.add.reduceat(x, b.begin)
-        cols = [pa.array(b.ids, pa.int64()), pa.array([fold(x) == HELD_OUT for x in b.ids]), pa.array(b.sizes), pa.array(add((counts > 0)[b.tokens].astype(np.int64))), pa.array(np.full(len(b.ids), total)), pa.array(add(base)), pa.array(add(token_score))]
+        cols = [pa.array(b.ids, pa.int64()), pa.array([fold(x) == HELD_OUT for x in b.ids]), pa.array(b.sizes), pa.array(add((counts > 0)[b.tokens].astype(np.int64))), pa.array(np.full(len(b.ids), total)), pa.array(add(base)), pa.array(add(np.log10(token_probabilities(b, unigrams))))]
         return pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return with_words.join(gathered(paired, "pair_counts"), "block").mapInArrow(run, RESULT)
+    return with_answers().mapInArrow(thrifty(run), RESULT)

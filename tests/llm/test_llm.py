@@ -62,16 +62,19 @@ def test_sentencepiece(spark, docs):
     assert all(back[i]["text"] == (t or "") for i, t in TEXTS.items())
 
 
-def test_katz(docs, monkeypatch):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_katz(docs, monkeypatch, order):
     monkeypatch.setattr(katz_lm, "BLOCK_BYTES", 3000)
-    rows = katz_lm.scored(docs).collect()
+    rows = katz_lm.scored(docs, order=order).collect()
     tokens = [(i, (t or "").encode().lower().split() + ["</s>"]) for i, t in [*TEXTS.items(), (4, TEXTS[4])]]
     train = [t for i, t in tokens if zlib.crc32(str(i).encode()) % 5 != 1]
-    uni = Counter(w for t in train for w in t)
-    pairs = defaultdict(Counter)
+    grams = [defaultdict(Counter) for _ in range(order)]  # by length of the history
     for t in train:
-        for a, b in zip(["<s>", *t], t, strict=False):
-            pairs[a][b] += 1
+        t = ["<s>", *t]
+        for n in range(order):
+            for i in range(max(1, n), len(t)):
+                grams[n][tuple(t[i - n : i])][t[i]] += 1
+    uni = grams[0][()]
     total = sum(uni.values())
 
     def discount(counts):
@@ -84,32 +87,42 @@ def test_katz(docs, monkeypatch):
                     out[r] = d
         return out
 
-    d1, d2 = discount(uni.values()), discount([c for x in pairs.values() for c in x.values()])
-    mass = sum(d1.get(c, 1) * c for c in uni.values()) / total
+    d = [discount([c for x in g.values() for c in x.values()]) for g in grams]
+    mass = sum(d[0].get(c, 1) * c for c in uni.values()) / total
     unknown = max(1 - mass, 1 / (total + 1))
-    p1 = lambda w: d1.get(uni[w], 1) * uni[w] / total * (1 - unknown) / mass if w in uni else unknown
 
-    def p2(h, w):
-        f = pairs.get(h)
+    def p(h, w):
+        if not h:
+            return d[0].get(uni[w], 1) * uni[w] / total * (1 - unknown) / mass if w in uni else unknown
+        f, dn = grams[len(h)].get(h), d[len(h)]
         if not f:
-            return p1(w)
-        n, raw = sum(f.values()), sum(d2.get(c, 1) * c for c in f.values())
+            return p(h[1:], w)
+        n, raw = sum(f.values()), sum(dn.get(c, 1) * c for c in f.values())
         left = max(1 - raw / n, 1 / (n + 1))
-        return d2.get(f[w], 1) * f[w] * (1 - left) / raw if f[w] else left / (1 - sum(p1(x) for x, c in f.items() if c)) * p1(w)
+        return dn.get(f[w], 1) * f[w] * (1 - left) / raw if f.get(w) else left / (1 - sum(p(h[1:], x) for x in f)) * p(h[1:], w)
 
-    for h in list(pairs)[:5]:
-        seen = set(uni)
-        assert sum(p2(h, w) for w in seen) + p2(h, "never seen") == pytest.approx(1)
-    want = {i: sum(math.log10(p2(a, b)) for a, b in zip(["<s>", *t], t, strict=False)) for i, t in tokens}
+    for g in grams:
+        for h in list(g)[:4]:
+            assert sum(p(h, w) for w in uni) + p(h, "never seen") == pytest.approx(1, abs=1e-12)
+    want = {i: sum(math.log10(p(tuple(["<s>", *t][max(0, k + 2 - order) : k + 1]), w)) for k, w in enumerate(t)) for i, t in tokens}
     assert len(rows) == len(tokens)
     for r in rows:
         assert r["score"] == pytest.approx(want[r["doc_id"]]) and r["train_tokens"] == total
 
 
 def test_katz_crowded_history_is_dealt_over_tables():
-    h, w = np.full(1000, 7, np.uint64), np.arange(1000, dtype=np.uint64)
-    assert len(set(katz_lm.pair_tables(h, w, np.full(1000, 500), 50, 100).tolist())) > 3
-    assert len(set(katz_lm.pair_tables(h, w, np.full(1000, 50), 50, 100).tolist())) == 1
+    part, history = np.arange(1000) % 6, np.full(1000, 7)
+    assert len(set(katz_lm.gram_tables(history, part, np.full(1000, 6), 50).tolist())) == 6
+    assert len(set(katz_lm.gram_tables(history, part, np.full(1000, 1), 50).tolist())) == 1
+
+
+def test_katz_with_crowded_histories(spark, docs, monkeypatch):
+    rows = sorted(map(tuple, katz_lm.scored(docs).collect()), key=str)
+    monkeypatch.setattr(katz_lm, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(katz_lm, "CROWD", 20)
+    got = sorted(map(tuple, katz_lm.scored(docs).collect()), key=str)
+    assert [x[:5] for x in rows] == [x[:5] for x in got]
+    assert [x[6] for x in rows] == pytest.approx([x[6] for x in got])
 
 
 def test_host_rules(docs):
