@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -35,11 +36,20 @@ def cut(df: DataFrame) -> DataFrame:
     shared_folder(spark := df.sparkSession)
     out = df.checkpoint(eager=True)
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    release(spark)
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the files of whatever nothing refers to any more. Its listeners hold on to the query that ended last
+    until they have seen another one to its end."""
+    for _ in range(2):
+        gc.collect()
+        spark.range(1).count()
+        time.sleep(0.2)
+        spark.sparkContext._jvm.System.gc()
+
+
 def thrifty(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
     """``run`` over the batches of a task; at its end the worker gives the memory it no longer uses back to the system.
     Workers outlive their tasks, and what idle ones hold on to is missing from the next stage."""
