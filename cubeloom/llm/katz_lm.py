@@ -28,6 +28,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import cut, picked, texts_of, thrifty
 
 TOP = 5  # counts up to this are discounted
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 10_000_000
 FOLDS, HELD_OUT = 5, 1
 ORDER = 3
 CROWD = 100_000  # a history seen more often may be dealt over several tables
@@ -46,11 +47,11 @@ FORMAT = "<u8"
 
 def squeezed(x: np.ndarray) -> bytes:
     """Numbers byte by byte, all first bytes first: small numbers leave long runs of zeros."""
-    return zlib.compress(np.ascontiguousarray(np.ascontiguousarray(x).reshape(-1).view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(np.ascontiguousarray(x).reshape(-1).view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), 1)
 
 
 def spread(data: bytes, kind: str) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
     return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
@@ -99,6 +100,35 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return picked(docs, id_col, text_col).mapInArrow(thrifty(run), BLOCK_SCHEMA)
 
 
+def ranks(x: np.ndarray) -> np.ndarray:
+    out = np.empty(len(x), np.int64)
+    out[np.argsort(x)] = np.arange(len(x))
+    return out
+
+
+def sorted_places(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (from 0 up) in order, and their places. They are sorted together while both fit one word, which is faster than
+    sorting places by keys."""
+    bits = len(key).bit_length()
+    if len(key) and int(key.max()) < 1 << (63 - bits):
+        both = np.sort((key << bits) | np.arange(len(key)))
+        return both >> bits, both & ((1 << bits) - 1)
+    order = np.argsort(key)
+    return key[order], order
+
+
+def grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys (from 0 up), ascending, a place of each, and for every place the number of its key."""
+    n = len(key)
+    if not n:
+        return key, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    key, order = sorted_places(key)
+    new = np.append(True, key[1:] != key[:-1])
+    inverse = np.empty(n, np.int32)
+    inverse[order] = np.cumsum(new, dtype=np.int32) - 1
+    return key[new], order[new], inverse
+
+
 class Grams:
     """The distinct n-grams of a block: local numbers of history and last word, of the n-gram one word shorter (``low``), training
     counts here, and the n-gram of each token (-1: none). Then, from the tables, ``count`` over all blocks, ``number``, and whether other blocks have it (``shared``)."""
@@ -106,25 +136,25 @@ class Grams:
     def __init__(self, b: Block, low: Grams | None):
         if low is None:  # words
             self.at = b.tokens
-            self.own = np.bincount(b.tokens[b.train], minlength=len(b.words))
+            self.own = np.bincount(b.tokens[b.train], minlength=b.n_words)
             return
         first = low.history is None
-        history = np.append(-1, low.at[:-1])
+        history = np.append(np.int32(-1), low.at[:-1])
         history[b.begin] = len(low.own) if first else -1  # the beginning of the text
         some = np.flatnonzero(history >= 0)
-        key, index, inverse = np.unique(history[some] * (len(b.words) + 1) + b.tokens[some], return_index=True, return_inverse=True)
-        inverse = inverse.reshape(-1)
-        self.history, self.word = key // (len(b.words) + 1), key % (len(b.words) + 1)
+        bits = b.n_words.bit_length()
+        key, index, inverse = grouped((history[some].astype(np.int64) << bits) | b.tokens[some])
+        self.history, self.word = (key >> bits).astype(np.int32), (key & ((1 << bits) - 1)).astype(np.int32)
         self.low = low.at[some[index]]
         self.own = np.bincount(inverse[b.train[some]], minlength=len(key))
-        self.at = np.full(len(b.tokens), -1)
+        self.at = np.full(len(b.tokens), -1, np.int32)
         self.at[some] = inverse
         #: Of each history the count over all blocks, its number and whether other blocks have it; the beginning of texts is everywhere.
         self.h_count = np.append(low.count, b.starts) if first else low.count
         self.h_number = np.append(low.number, 0) if first else low.number
         self.asked = (np.append(low.shared, True) if first else low.shared)[self.history]
         self.count, self.number, self.shared = self.own.copy(), np.zeros(len(key), np.int64), np.zeros(len(key), bool)
-        self.figures = figures_of(self.history[~self.asked], self.own[~self.asked], low.count[self.low[~self.asked]], len(self.h_count), b.d[low.order - 1])
+        self.figures = figures_of(self.history[~self.asked], self.own[~self.asked], low.count[self.low[~self.asked]], len(self.h_count))
 
     history = None
     order = 1
@@ -133,12 +163,18 @@ class Grams:
 class Block:
     """A block with the grams of the orders whose answers are given. ``d``: discounts by order, words first."""
 
-    def __init__(self, row: dict, starts: int = 0, d: list[np.ndarray] = (), tables: int = 1, crowd: int = 1, answers: list[dict] = (), order: int = 0):
+    def __init__(self, row: dict, starts: int = 0, d: list[np.ndarray] = (), tables: int = 1, crowd: int = 1, answers: list[dict] | None = None, order: int = 0):
         known = spread(row["known_ids"], "?")
         self.ids = [x if k else None for x, k in zip(spread(row["ids"], "<i8").tolist(), known.tolist(), strict=True)]
         self.sizes = spread(row["sizes"], "<i8")
-        self.tokens = spread(row["tokens"], "<u4").astype(np.int64)
-        self.words = np.frombuffer(row["words"], FORMAT)
+        self.tokens = spread(row["tokens"], "<u4").astype(np.int32)
+        words = row["words"]  # hashes of distinct words, or once these are counted their counts and numbers
+        if order:
+            counts, numbers = (spread(x, "<i8") for x in unpacked(words))
+            self.n_words = len(counts)
+        else:
+            self.words = np.frombuffer(words, FORMAT)
+            self.n_words = len(self.words)
         self.begin = np.cumsum(self.sizes) - self.sizes
         self.train = np.repeat(np.array([fold(x) != HELD_OUT for x in self.ids]), self.sizes)
         self.starts, self.d = starts, d
@@ -146,20 +182,18 @@ class Block:
         for n in range(1, order + 1):
             self.grams.append(g := Grams(self, self.grams[-1] if self.grams else None))
             g.order = n
-            got = [x["answer"] for x in sorted((x for x in answers if x["level"] == n), key=lambda x: x["table"])]
             if n == 1:
-                g.count, g.number = np.zeros(len(g.own), np.int64), np.zeros(len(g.own), np.int64)
-                for (_, at), data in zip(self.asked_words(tables), got, strict=True):
-                    counts, numbers = unpacked(data)
-                    g.count[at], g.number[at] = spread(counts, "<i8"), spread(numbers, "<i8")
-                g.shared, g.number = g.number > 0, np.abs(g.number)
-            elif got:
+                g.count, g.number, g.shared = counts, np.abs(numbers), numbers > 0
+                continue
+            got = [x["answer"] for x in sorted((x for x in answers or [] if x["level"] == n), key=lambda x: x["table"])]
+            if got:
                 for (_, mine, hist), data in zip(self.asked_grams(g, tables, crowd), got, strict=True):
-                    counts, shared, numbers, small, mass = unpacked(data)
-                    g.count[mine], g.shared[mine] = spread(counts, "<i8"), spread(shared, "?")
-                    g.number[mine[g.shared[mine]]] = np.cumsum(spread(numbers, "<i8"))
-                    g.figures[hist, : TOP + 1] += spread(small, "<i8").reshape(TOP + 1, -1).T
-                    g.figures[hist, TOP + 1] += spread(mass, "<f8")
+                    counts, shared, numbers, figures = unpacked(data)
+                    g.count[mine] = spread(counts, "<i8")
+                    if shared:
+                        g.shared[mine] = spread(shared, "?")
+                        g.number[mine[g.shared[mine]]] = np.cumsum(spread(numbers, "<i8"))
+                    g.figures[:, hist] += spread(figures, "<i8").reshape(FIGURES, -1)
 
     def asked_words(self, tables: int) -> list[tuple[int, np.ndarray]]:
         return dealt((mixed(self.words) % np.uint64(tables)).astype(np.int64), tables)
@@ -178,7 +212,8 @@ class Block:
         spans = np.minimum(1 + g.h_count[g.history[mine]] // crowd, tables)
         number = self.grams[0].number[g.word[mine]]
         table = gram_tables(g.h_number[g.history[mine]], (mixed(number.astype(np.uint64)) % spans.astype(np.uint64)).astype(np.int64), spans, tables)
-        order = np.lexsort((number, g.h_number[g.history[mine]]))
+        h_rank, w_rank = ranks(g.h_number), ranks(self.grams[0].number)
+        order = sorted_places((h_rank[g.history[mine]] << len(w_rank).bit_length()) | w_rank[g.word[mine]])[1]
         by_table = {t: mine[order[at]] for t, at in dealt(table[order], tables)}
         order = np.argsort(g.h_number[all_h], kind="stable")
         none = np.zeros(0, np.int64)
@@ -201,7 +236,7 @@ def batch_of(rows: list[tuple]) -> pa.RecordBatch:
 
 def dealt(table: np.ndarray, tables: int) -> list[tuple[int, np.ndarray]]:
     """(table, members in ascending order) of the tables that are asked."""
-    order = np.argsort(table, kind="stable")
+    order = np.argsort(table.astype(np.uint16) if tables < 1 << 16 else table, kind="stable")  # short numbers sort in one pass
     edges = np.flatnonzero(np.append(True, np.diff(table[order]) > 0)) if len(order) else []
     return [(int(table[p[0]]), p) for p in np.split(order, edges[1:])] if len(order) else []
 
@@ -209,9 +244,9 @@ def dealt(table: np.ndarray, tables: int) -> list[tuple[int, np.ndarray]]:
 def word_requests(rows: DataFrame, tables: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in one_by_one(batch):
                 b = Block(row)
-                counts = np.bincount(b.tokens[b.train], minlength=len(b.words))
+                counts = np.bincount(b.tokens[b.train], minlength=b.n_words)
                 yield batch_of([(t, row["block"], b.words[at].tobytes(), squeezed(counts[at].astype("<u4"))) for t, at in b.asked_words(tables)])
 
     return rows.mapInArrow(thrifty(run), REQUEST)
@@ -243,6 +278,23 @@ def unpacked(data: bytes) -> list[bytes]:
     return out
 
 
+def numbered(rows: DataFrame, tables: int) -> DataFrame:
+    """Blocks with their words' counts and numbers in place of hashes."""
+
+    def run(batches):
+        for batch in batches:
+            done = []
+            for row in one_by_one(batch):
+                b = Block(row)
+                counts, numbers = np.zeros(b.n_words, np.int64), np.zeros(b.n_words, np.int64)
+                for (_, at), x in zip(b.asked_words(tables), sorted(row["answers"], key=lambda x: x["table"]), strict=True):
+                    counts[at], numbers[at] = (spread(y, "<i8") for y in unpacked(x["answer"]))
+                done.append(framed(squeezed(counts), squeezed(numbers)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(done, pa.binary())], [x.split()[0] for x in BLOCK_SCHEMA.split(", ")])
+
+    return rows.mapInArrow(thrifty(run), BLOCK_SCHEMA)
+
+
 def word_answers(tables: int):
     def run(table: pa.Table) -> pa.Table:
         """Each block's words' counts over all blocks, and their numbers, small for frequent words; as block -1 the table's
@@ -304,17 +356,19 @@ class Unigrams:
         return np.where(counts > 0, self.d[np.minimum(counts, TOP + 1)] * counts * self.scale, self.unknown)
 
 
-FIGURES = TOP + 2  # per history: types seen 1 .. TOP times, sum of counts above, discounted lower counts of its followers
+#: Per history: followers seen 1 .. TOP times and the sum of all counts above; and the same by the followers' counts of one order lower.
+FIGURES = 2 * (TOP + 1)
 
 
-def figures_of(history: np.ndarray, count: np.ndarray, low: np.ndarray, n: int, d: np.ndarray) -> np.ndarray:
+def figures_of(history: np.ndarray, count: np.ndarray, low: np.ndarray, n: int) -> np.ndarray:
     """Of n histories, from their distinct followers' counts and counts of one order lower."""
-    out = np.zeros((n, FIGURES))
-    for r in range(1, TOP + 1):
-        out[:, r - 1] = np.bincount(history[count == r], minlength=n)
-    many, some = count > TOP, count > 0
-    out[:, TOP] = np.bincount(history[many], weights=count[many], minlength=n)
-    out[:, TOP + 1] = np.bincount(history[some], weights=(d[np.minimum(low, TOP + 1)] * low)[some], minlength=n)
+    out = np.zeros((FIGURES, n), np.int64)
+    seen = count > 0
+    for k, c in ((0, count), (TOP + 1, low)):
+        for r in range(1, TOP + 1):
+            out[k + r - 1] = np.bincount(history[seen & (c == r)], minlength=n)
+        many = seen & (c > TOP)
+        out[k + TOP] = np.bincount(history[many], weights=c[many], minlength=n)
     return out
 
 
@@ -325,7 +379,7 @@ def gram_requests(rows: DataFrame, n: int, **given) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in one_by_one(batch):
                 b = Block(row, answers=row["answers"], order=n - 1, **given)
                 g = Grams(b, b.grams[-1])
                 low = b.grams[-1].count
@@ -339,8 +393,8 @@ def gram_requests(rows: DataFrame, n: int, **given) -> DataFrame:
     return rows.mapInArrow(thrifty(run), REQUEST)
 
 
-def gram_answers(d: np.ndarray, tables: int):
-    """d: the discounts of one order lower."""
+def gram_answers(tables: int, last: bool):
+    """``last``: no higher order will ask for these n-grams by number."""
 
     def run(table: pa.Table) -> pa.Table:
         """Per block its n-grams' counts, which other blocks have too and the numbers of these, and its histories' figures; as
@@ -356,33 +410,33 @@ def gram_answers(d: np.ndarray, tables: int):
         w = np.concatenate([spread(r["c"], "<i8") for r in rows])
         if len(w) and (len(names) >= 1 << (63 - WORD_BITS) or w.max() >= 1 << WORD_BITS):
             raise OverflowError("a table has too many histories or words")
-        gram, index, inverse = np.unique((h << WORD_BITS) + w, return_index=True, return_inverse=True)
-        inverse = inverse.reshape(-1)
+        gram, index, inverse = grouped((h.astype(np.int64) << WORD_BITS) + w)
         total = np.bincount(inverse, weights=np.concatenate([spread(r["d"], "<u4") for r in rows]), minlength=len(gram)).astype(np.int64)
         low = np.concatenate([spread(r["e"], "<i8") for r in rows])[index]
-        figures = figures_of(gram >> WORD_BITS, total, low, len(names), d)
-        counts, numbers, shared = total[inverse], inverse * tables + at + 1, (np.bincount(inverse, minlength=len(gram)) > 1)[inverse]
+        figures = figures_of(gram >> WORD_BITS, total, low, len(names))
+        counts, numbers, shared = total[inverse], inverse.astype(np.int64) * tables + at + 1, (np.bincount(inverse, minlength=len(gram)) > 1)[inverse]
         edges = np.cumsum([int(s.sum()) for s in sizes])[:-1]
         out = []
         for r, mine, c, k, s in zip(rows, np.split(place.reshape(-1), np.cumsum([len(x) for x in own])[:-1]), *(np.split(x, edges) for x in (counts, numbers, shared)), strict=True):
-            f = figures[mine]
-            out.append((r["block"], at, framed(squeezed(c.astype("<i8")), squeezed(s), squeezed(np.diff(k[s], prepend=0).astype("<i8")), squeezed(f[:, : TOP + 1].T.astype("<i8")), squeezed(f[:, TOP + 1]))))
+            out.append((r["block"], at, framed(squeezed(c.astype("<i8")), *((b"", b"") if last else (squeezed(s), squeezed(np.diff(k[s], prepend=0).astype("<i8")))), squeezed(figures[:, mine].astype("<i8")))))
         return answers([*out, (-1, at, counts_of_counts(total).tobytes())])
 
     return run
 
 
-def weights(figures: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def weights(figures: np.ndarray, d: np.ndarray, lower: np.ndarray, d_lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per history the scale of its discounted counts and its backoff weight; a history never seen has weight 1.
-    Where discounting leaves less than 1 / (n + 1), all counts of the history are scaled to leave that."""
+    Where discounting leaves less than 1 / (n + 1), all counts of the history are scaled to leave that. ``lower``: the
+    scale of the followers' discounted counts one order lower."""
     r = np.arange(1, TOP + 1)
-    total = figures[:, :TOP] @ r + figures[:, TOP]
-    raw = figures[:, :TOP] @ (r * d[1 : TOP + 1]) + figures[:, TOP]
+    total = r @ figures[:TOP] + figures[TOP]
+    raw = (r * d[1 : TOP + 1]) @ figures[:TOP] + figures[TOP]
+    mass = lower * ((r * d_lower[1 : TOP + 1]) @ figures[TOP + 1 : -1] + figures[-1])
     known = total > 0
     safe = np.where(known, total, 1)
     left = np.maximum(1 - raw / safe, 1 / (safe + 1))
     scale = np.where(known, (1 - left) / np.where(raw > 0, raw, 1), 0.0)
-    return scale, np.where(known, left / np.maximum(1 - figures[:, TOP + 1], 1e-300), 1.0)
+    return scale, np.where(known, left / np.maximum(1 - mass, 1e-300), 1.0)
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -392,42 +446,55 @@ def token_probabilities(b: Block, unigrams: Unigrams) -> np.ndarray:
     """Of each token, by the longest history that the text gives it: p(w | u v) backs off to p(w | v), that to p(w)."""
     p, scale = unigrams.of(b.grams[0].count), np.array([unigrams.scale])
     out = p[b.tokens]
-    for low, g, d in zip(b.grams, b.grams[1:], b.d[1:], strict=False):
+    for low, g, d_lower, d in zip(b.grams, b.grams[1:], b.d, b.d[1:], strict=False):
         shorter = np.zeros(len(g.h_count), np.int64)  # the history of each history's followers one order lower
         if low.history is not None:
             shorter[g.history] = low.history[g.low]
-        g.figures[:, TOP + 1] *= scale[shorter]
-        scale, backoff = weights(g.figures, d)
+        scale, backoff = weights(g.figures, d, scale[shorter], d_lower)
         p = np.where(g.count > 0, d[np.minimum(g.count, TOP + 1)] * g.count * scale[g.history], backoff[g.history] * p[g.low])
         some = g.at >= 0
         out[some] = p[g.at[some]]
     return out
 
 
+def one_by_one(batch: pa.RecordBatch):
+    """Rows as Python objects, one at a time: a row here is a whole block."""
+    for k in range(batch.num_rows):
+        yield batch.slice(k, 1).to_pylist()[0]
+
+
+def with_answers(rows: DataFrame, answered: list[DataFrame]) -> DataFrame:
+    """Blocks with what the tables of the orders from the second on (or those of words alone) have answered."""
+    if not answered:
+        return rows.withColumn("answers", F.lit(None).cast("array<struct<level:int,table:bigint,answer:binary>>"))
+    every = [x.where("block >= 0").select("block", F.struct(F.lit(n).alias("level"), "table", "answer").alias("x")) for n, x in enumerate(answered, 2)]
+    union = every[0]
+    for x in every[1:]:
+        union = union.union(x)
+    return rows.join(union.groupBy("block").agg(F.collect_list("x").alias("answers")), "block", "left")
+
+
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 of the model's probability)."""
     rows = cut(blocks(docs, id_col, text_col))
     tables = max(1, rows.count())
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
-    answered = [cut(word_requests(rows, tables).groupBy("table").applyInArrow(word_answers(tables), ANSWER))]
-    n1 = totals(answered[0])
+    counted = cut(word_requests(rows, tables).groupBy("table").applyInArrow(word_answers(tables), ANSWER))
+    n1 = totals(counted)
     unigrams, vocabulary, total = Unigrams(n1), int(n1[TOP + 1]), int(n1[TOP + 2])
     given = {"starts": docs.where(~held).count(), "d": [discounts(n1)], "tables": tables, "crowd": max(CROWD, total // (4 * tables))}
-
-    def with_answers() -> DataFrame:
-        every = [x.where("block >= 0").select("block", F.struct(F.lit(n).alias("level"), "table", "answer").alias("x")) for n, x in enumerate(answered, 1)]
-        for x in every[1:]:
-            every[0] = every[0].union(x)
-        return rows.join(every[0].groupBy("block").agg(F.collect_list("x").alias("answers")), "block")
-
+    # no name holds on to what a step reads, so it is released once the step is written
+    rows = cut(numbered(with_answers(rows, [counted]), tables))
+    del counted
+    answered: list[DataFrame] = []
     for n in range(2, order + 1):
-        asked = gram_requests(with_answers(), n, **given)
-        answered.append(cut(asked.groupBy("table").applyInArrow(gram_answers(given["d"][-1], tables), ANSWER)))
+        # requests are written, so the shuffle of blocks is released before theirs
+        answered.append(cut(cut(gram_requests(with_answers(rows, answered), n, **given)).groupBy("table").applyInArrow(gram_answers(tables, n == order), ANSWER)))
         given["d"] = [*given["d"], discounts(totals(answered[-1]))]
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in one_by_one(batch):
                 yield score(Block(row, answers=row["answers"], order=order, **given))
 
     def score(b: Block):
@@ -437,4 +504,4 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", orde
         cols = [pa.array(b.ids, pa.int64()), pa.array([fold(x) == HELD_OUT for x in b.ids]), pa.array(b.sizes), pa.array(add((counts > 0)[b.tokens].astype(np.int64))), pa.array(np.full(len(b.ids), total)), pa.array(add(base)), pa.array(add(np.log10(token_probabilities(b, unigrams))))]
         return pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return with_answers().mapInArrow(thrifty(run), RESULT)
+    return with_answers(rows, answered).mapInArrow(thrifty(run), RESULT)
