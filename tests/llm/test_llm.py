@@ -205,7 +205,7 @@ def test_html(spark):
 def test_passages(docs):
     got = by_id(substring_windows.near_passages(docs))
     assert len(got) == len(TEXTS)
-    assert got[5]["partners"] == [6] and got[6]["partners"] == [5] and got[5]["class_id"] == got[6]["class_id"] == 5
+    assert got[5]["n_links"] == got[6]["n_links"] == 1 and got[5]["class_id"] == got[6]["class_id"] == 5
     first, last = map(int, got[6]["spans"].split(":"))
     assert abs(first - 33) <= 5 and abs(last - 92) <= 5
     assert {11, 12} <= {got[i]["doc_id"] for i in (11, 12) if got[i]["class_id"] == 4} and got[3]["n_spans"] == 0 and got[7]["n_spans"] == 0
@@ -279,6 +279,33 @@ def test_passages_of_one_original_and_its_edited_copies(spark, monkeypatch):
     assert all(got[i]["n_repeat_words"] >= 40 for i in linked)
 
 
+def test_passages_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(substring_windows, "REQUESTS", 3)
+    rng = random.Random(21)
+    common = [[f"c{k}-{i}" for i in range(rng.randint(51, 130))] for k in range(6)]
+    rows = []
+    for i in range(160):
+        words = [f"n{rng.random()}" for _ in range(60)]
+        for c in rng.sample(common, rng.choice([0, 1, 1, 2])):
+            words += edited(c, rng, rng.choice([0, 0, 1])) + [f"n{rng.random()}" for _ in range(rng.randint(0, 60))]
+        rows.append((i, " ".join(words)))
+    rows += [(200 + i, rows[3][1]) for i in range(20)] + [(300, None), (301, ""), (None, rows[3][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    results = []
+    for parts, piece in ((1, 4_000_000), (6, 20_000), (31, 1)):
+        monkeypatch.setattr(substring_windows, "PIECE_BYTES", piece)
+        results.append(sorted(map(tuple, substring_windows.near_passages(docs.repartition(parts, "doc_id")).collect()), key=str))
+    assert results[0] == results[1] == results[2]
+    # brute force over all pairs: documents with a similar passage of over 50 words are in one class
+    text = {i: substring_windows.tokens((t or "").encode()) for i, t in rows if i is not None}
+    got = {r[0]: r for r in results[0]}
+    true = [(i, j) for i in text for j in text if i < j and substring_windows.common(text[i], text[j])]
+    linked = [(i, j) for i, j in true if got[i][6] == got[j][6]]
+    assert len(true) > 300 and len(linked) >= 0.98 * len(true)
+    alone = set(text) - {i for pair in true for i in pair}
+    assert len(alone) > 20 and all(got[i][5] == 0 and got[i][6] == i for i in alone)
+
+
 @pytest.mark.parametrize("n", [60, 300])
 def test_passages_at_several_places_of_a_document(spark, n):
     rng = random.Random(9)
