@@ -79,7 +79,9 @@ def interpolate(cube: Cube, target: DataFrame, lat: str = "latitude", lon: str =
     else:
         value = F.when(q >= p, v[0] + (v[1] - v[0]) * q + (v[3] - v[1]) * p).otherwise(v[0] + (v[2] - v[0]) * p + (v[3] - v[2]) * q)
     whole = F.when(v[0].isNotNull() & v[1].isNotNull() & v[2].isNotNull() & v[3].isNotNull(), value)
-    out = asked.join(cells, ["i", "j"], "left" if not rest else "inner").select(*rest, lat, lon, whole.alias(VALUE))
+    if rest:  # every target point at every loop point, as the result has it; outside the grid the value is missing
+        asked = asked.crossJoin(cube.df.select(*rest).distinct())
+    out = asked.join(cells, [*rest, "i", "j"], "left").select(*rest, lat, lon, whole.alias(VALUE))
     return Cube(out, (*rest, lat, lon), cube.name, cube.attrs)
 
 

@@ -32,12 +32,24 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str] = KEYS) -> DataFr
     return old.join(new, list(keys), "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def alike(table: DataFrame, other: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of ``table`` whose key ``other`` has."""
+    keys = other.select(*(F.col(k).alias(f"__{k}") for k in KEYS))
+    return table.join(keys, fold(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in KEYS)), how)
+
+
+def unlike(table: DataFrame, other: DataFrame) -> DataFrame:
+    return alike(table, other, "left_anti")
+
+
 def matching(table: DataFrame, **wanted: str | Sequence[str]) -> DataFrame:
-    """Rows whose columns (or attributes) are among the wanted values; text is split at commas, unknown names are ignored."""
+    """Rows whose columns, or else attributes, are among the wanted values; text is split at commas."""
     for key, values in wanted.items():
         values = values.split(",") if isinstance(values, str) else list(values)
         if key in table.columns:
             table = table.where(F.col(key).isin(values))
+        elif "attrs" in table.columns:
+            table = table.where(F.col("attrs")[key].isin(values))
     return table
 
 
@@ -94,12 +106,14 @@ def inherit(outputs: DataFrame, inputs: DataFrame, group: Sequence[str], which:
 
 @dataclass
 class Catalog:
-    """Tables of cubes below ``root``; ``root`` None is a catalogue in memory."""
+    """Tables of cubes below ``root``; ``root`` None is a catalogue in memory. A catalogue opened with a query shows some rows
+    only; the stored rows that it does not show are kept when it is saved."""
 
     spark: SparkSession
     root: str | None = None
     table: DataFrame | None = None
     pattern: str = PATTERN
+    hidden: DataFrame | None = None  # stored rows that the query has left out
 
     def __post_init__(self):
         if self.table is None:
@@ -112,17 +126,24 @@ class Catalog:
         at = _pointer(spark, root)
         here = None if reset or at is None else spark.read.schema(SCHEMA).parquet(f"{root}/{at['version']}")
         out = cls(spark, root, here, (at or {}).get("pattern", PATTERN))
-        if here is not None:
+        if here is not None and (query is not None or wanted):
             out.table = matching(queried(here, query), **wanted)
+            out.hidden = unlike(here, out.table)
         return out
 
     def save(self) -> Catalog:
         """A new version, then the pointer; readers of the old version are not disturbed."""
         if self.root is not None:
             version = f"catalog-{uuid.uuid4().hex}"
-            self.table.write.parquet(f"{self.root}/{version}")
+            # a row that is added here replaces a hidden one with the same key
+            whole = self.table if self.hidden is None else unlike(self.hidden, self.table).unionByName(self.table)
+            whole.select(*COLUMNS).write.parquet(f"{self.root}/{version}")
             _write_text(self.spark, f"{self.root}/current.json", json.dumps({"version": version, "pattern": self.pattern}))
-            self.table = self.spark.read.schema(SCHEMA).parquet(f"{self.root}/{version}")
+            stored = self.spark.read.schema(SCHEMA).parquet(f"{self.root}/{version}")
+            if self.hidden is None:
+                self.table = stored
+            else:
+                self.table, self.hidden = alike(stored, self.table), unlike(stored, self.table)
         return self
 
     def full_paths(self) -> DataFrame:
@@ -325,9 +346,13 @@ def _write_text(spark, path: str, text: str) -> None:
     out = fs.create(new)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(at, False)
-    if not fs.rename(new, at):
-        raise OSError(f"{path} can't be replaced")
+    # renaming with overwrite: a reader finds the old text or the new one, never none
+    jvm = spark.sparkContext._jvm
+    over = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = over
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(new), fs.makeQualified(at), options)
 
 
 def _pointer(spark, root: str) -> dict | None:

@@ -212,3 +212,28 @@ def test_plans_reach_the_scan(spark):
     assert "PushedFilters: [IsNotNull(l_linenumber)" in plan and "l_comment" not in plan
     plan = regrid.interpolate(fx.grid(spark), spark.range(4).select(F.col("id").cast("double").alias("latitude"), F.col("id").cast("double").alias("longitude")), grid=(-90.0, 5.0, 0.0, 5.0)).df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_a_catalogue_opened_with_a_query_keeps_the_other_rows(spark, tmp_path):
+    from cubeloom.plans.catalog import Catalog
+
+    root = f"file://{tmp_path}/c"
+    cat = Catalog.open(spark, root)
+    df = spark.createDataFrame([(0, 1.0), (1, 2.0)], "x int, v double")
+    for source in ("a", "b"):
+        cat.add(Cube.of(df, ["x"], "v", "v"), variable="v", source=source, time="t", space="s", kind=f"k{source}")
+    part = Catalog.open(spark, root, query="source = 'a'")
+    assert part.table.count() == 1
+    part.add(Cube.of(df, ["x"], "v", "v"), variable="v", source="c", time="t", space="s")
+    assert sorted(r["source"] for r in part.table.collect()) == ["a", "c"]
+    part.add(Cube.of(df, ["x"], "v", "v"), variable="w", source="c", time="t", space="s")
+    assert sorted(r["source"] for r in Catalog.open(spark, root).table.collect()) == ["a", "b", "c", "c"]
+    assert [r["source"] for r in Catalog.open(spark, root, kind="kb").table.collect()] == ["b"]
+
+
+def test_points_outside_the_grid_are_missing_at_every_loop_point(spark):
+    rows = [(t, float(y), float(x), float(t + y + x)) for t in range(2) for y in range(3) for x in range(3)]
+    cube = Cube(spark.createDataFrame(rows, "t int, latitude double, longitude double, value double"), ("t", "latitude", "longitude"), "v")
+    target = spark.createDataFrame([(0.5, 0.5), (9.0, 9.0)], "latitude double, longitude double")
+    got = {(r["t"], r["latitude"]): r["value"] for r in regrid.interpolate(cube, target).df.collect()}
+    assert got == {(0, 0.5): 1.0, (1, 0.5): 2.0, (0, 9.0): None, (1, 9.0): None}
