@@ -7,7 +7,7 @@ or not. The network is trained here, on the driver, on ``TRAIN_PAGES`` generated
 (fixed seed); training sees none of the pages it is applied to. Its weights are a few thousand numbers.
 
 Defined cases: null or empty html gives empty text; pages without tags are one block, which is article; scripts,
-styles and comments are never blocks; unclosed and stray tags are repaired as browsers do; long pages are read whole;
+styles and comments are never blocks; a null page_id or url is kept; text of formulas and objects is text; unclosed and stray tags are repaired as browsers do; long pages are read whole;
 repeated rows get equal results; no rows give no rows; only three columns are read.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import thrifty
 
-TRAIN_PAGES = 600
+TRAIN_PAGES = 2000
 HIDDEN = 16
 PATH_DIMS = 256
 WORD_DIMS = 32
@@ -34,15 +34,15 @@ FIGURES = 8
 DIMS = PATH_DIMS + WORD_DIMS + FIGURES
 
 # Fixed values of HTML.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark math menclose mfrac mi mn mo mover mpadded mroot mrow ms msqrt mstyle msub msubsup msup mtext munder munderover object q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object textarea title head".split())
+RAW = frozenset("script style noscript template iframe svg textarea title head".split())
 SWALLOWS = frozenset("script style textarea title".split())  # without an end they go on to the end of the page
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
-TAG = re.compile(r"""<!--.*?(?:-->|$)|<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|</([a-zA-Z][^\s/>]*)[^>]*>|<[!?][^>]*>|<([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+TAG = re.compile(r"""<!--.*?(?:-->|$)|<([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|</([a-zA-Z][^\s/>]*+)[^>]*+>|<[!?][^>]*+>|<([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)  # nothing is read twice from one place
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -87,7 +87,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             if tag not in INLINE:
                 flush()
             if tag in RAW:
-                empty = tag in ("svg", "math") and (m[2] or m[5] or "").endswith("/")
+                empty = tag == "svg" and (m[2] or m[5] or "").endswith("/")
                 if tag != "head" and not empty:
                     end = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(page, at)
                     at = end.end() if end else len(page) if tag in SWALLOWS else at
@@ -104,7 +104,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             attributes = m[2] or m[5] or ""
             if tag not in VOID and not (attributes.endswith("/") and tag not in INLINE and tag not in CLOSES_P):
                 names = [p.lower() for g in NAMES.findall(attributes) for p in PARTS.findall(g[0] or g[1] or g[2])] if "=" in attributes else []
-                stack.append((tag, tuple("." + p for p in names[:12])))
+                stack.append((tag, tuple("." + p for p in names)))
         elif m[3]:
             tag = m[3].lower()
             if tag not in INLINE:

@@ -226,6 +226,27 @@ def test_html_raw_tags_without_an_end():
     assert [x[1] for x in html_lstm.blocks("<p>one</p><script>var a = '<p>no</p>'")] == ["one"]
 
 
+def test_html_of_odd_pages_ends_soon():
+    import time
+
+    for page in ("<a" * 10_000, "<a x=\"" * 5000, "<div>" * 3000 + "x", "<p>" * 20_000 + "x", "<!" * 20_000, "</" * 20_000):
+        began = time.process_time()
+        html_lstm.blocks(page)
+        assert time.process_time() - began < 20, page[:10]
+    assert html_lstm.blocks("<p>x <math><mi>y</mi></math> z</p>") == [(("p",), "x y z", 0)]
+
+
+def test_html_of_all_pages_of_a_scale_factor():
+    """In these tables the main text is what stands below an article tag."""
+    import pyarrow.parquet as pq
+
+    network = html_lstm.trained()
+    cut = [html_lstm.blocks(x or "") for x in pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).column("html").to_pylist()]
+    labels = network.label([html_lstm.features(b) for b in cut])
+    wrong = sum(any(keep != ("article" in path and not {"nav", "aside", "footer", "form"} & set(path)) for (path, _, _), keep in zip(b, x, strict=True)) for b, x in zip(cut, labels, strict=True))
+    assert len(cut) == 250 and wrong <= 1
+
+
 def edited(words, rng, edits):
     out = list(words)
     for _ in range(edits):
