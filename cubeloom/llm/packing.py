@@ -36,7 +36,8 @@ END_ID = 2
 POOL_TOKENS = 2_000_000
 STEP_TOKENS = 65_536
 SEQ_BITS = 33
-CACHE_WORDS = 800_000  # remembered by a task, and forgotten when it ends
+CACHE_WORDS = 1_600_000  # remembered by a task
+IDLE_WORDS = 800_000  # and by a worker between tasks, about 160 MB
 CACHED_BYTES = 64  # longer words are not remembered
 PLAIN = re.compile(r"[a-zß-öø-ÿ]+[!-/:-@\[-`{-~]*").fullmatch  # letters that no rule changes, then marks
 JOINED_WORDS = 4096  # new words encoded in one call
@@ -78,7 +79,7 @@ class WordEncoder:
 
     def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         """The little-endian ids of each word."""
-        if len(self.known) > CACHE_WORDS // 2:
+        if len(self.known) + len(words) > CACHE_WORDS // 2:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
         plain, other, passing = [], [], {}
@@ -106,7 +107,9 @@ class WordEncoder:
         return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def forget(self) -> None:
-        self.known, self.older = {}, {}
+        """Down to IDLE_WORDS; a generation holds no more."""
+        if len(self.known) + len(self.older) > IDLE_WORDS:
+            self.known, self.older = {}, max(self.known, self.older, key=len)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
@@ -211,7 +214,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         yield pool(names, ids, part, state)
                         names, ids, held = [], [], 0
         finally:
-            words.forget()  # an idle worker holds no words
+            words.forget()
         if names:
             yield pool(names, ids, part, state)
 
