@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, picked, texts_of, thrifty
+from .common import cut, picked, release, texts_of, thrifty
 
 TOP = 5  # counts up to this are discounted
 BLOCK_BYTES = 10_000_000
@@ -491,6 +491,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", orde
         # requests are written, so the shuffle of blocks is released before theirs
         answered.append(cut(cut(gram_requests(with_answers(rows, answered), n, **given)).groupBy("table").applyInArrow(gram_answers(tables, n == order), ANSWER)))
         given["d"] = [*given["d"], discounts(totals(answered[-1]))]
+    release(docs.sparkSession)  # of the last requests, before blocks and answers are dealt once more
 
     def run(batches):
         for batch in batches:
