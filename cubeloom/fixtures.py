@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder name below spark.checkpoint.dir; below a folder of our own where that is unset, in local mode only."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="cubeloom-")
+    return f"{at}/{uuid.uuid4().hex}"
+
+
 def exact_mean(v: str = VALUE) -> Column:
     """Mean of values with two decimals: the sum is exact, so only the division rounds, whatever the order."""
     return F.sum(F.col(v).cast("decimal(18,2)")).cast("double") / F.count(v)

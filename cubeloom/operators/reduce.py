@@ -72,19 +72,20 @@ def _places(n: int, stable_start: bool, stable_end: bool) -> list[int]:
     return places
 
 
-def ranked_quantiles(cube: Cube, dim: str | Sequence[str], cdfs: Sequence[float], name: str = "quantile") -> Cube:
-    """The same values for groups of any size, without gathering a group: counts of equal values are summed up first, so
-    the window sorts distinct values and spills."""
+def ranked_quantiles(cube: Cube, dim: str | Sequence[str], cdfs: Sequence[float], stable_start: bool = False, stable_end: bool = False, name: str = "quantile") -> Cube:
+    """The rows of :func:`quantiles` for groups of any size, without gathering a group: counts of equal values are summed up
+    first, so the window sorts distinct values and spills."""
     from pyspark.sql import Window
 
     rest = cube.others(*((dim,) if isinstance(dim, str) else dim))
-    counts = cube.df.where(F.col(VALUE).isNotNull()).groupBy(*rest, VALUE).agg(F.count(F.lit(1)).alias("c"))
+    counts = cube.df.groupBy(*rest, VALUE).agg(F.count(VALUE).alias("c"))  # the missing values count nothing
     w = Window.partitionBy(*rest)
     placed = counts.select(*rest, VALUE, F.sum("c").over(w.orderBy(VALUE)).alias("hi"), F.col("c"), F.sum("c").over(w).alias("n"))
-    points = F.array(*(F.struct(F.lit(i).alias(name), F.lit(float(p)).alias("cdf")) for i, p in enumerate(cdfs)))
-    at = lambda q: F.floor((F.col("n") - 1) * q.cdf)
-    hit = F.filter(points, lambda q: (at(q) < F.col("hi")) & (at(q) >= F.col("hi") - F.col("c")))
-    out = placed.withColumn("q", F.explode(hit)).select(*rest, F.col(f"q.{name}").alias(name), VALUE, F.col("q.cdf").alias("cdf"))
+    places = _places(len(cdfs), stable_start, stable_end)
+    points = F.array(*(F.struct(F.lit(i).alias(name), F.lit(float(p)).alias("cdf"), F.lit(float(cdfs[j])).alias("at")) for i, (p, j) in enumerate(zip(cdfs, places, strict=True))))
+    at = lambda q: F.floor((F.col("n") - 1) * q["at"])
+    hit = F.when(F.col("n") == 0, points).otherwise(F.filter(points, lambda q: (at(q) < F.col("hi")) & (at(q) >= F.col("hi") - F.col("c"))))
+    out = placed.withColumn("q", F.explode(hit)).select(*rest, F.col(f"q.{name}").alias(name), VALUE, F.when(F.col("n") > 0, F.col("q.cdf")).alias("cdf"))
     return Cube(out, (*rest, name), cube.name, cube.attrs)
 
 

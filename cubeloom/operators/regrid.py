@@ -85,14 +85,23 @@ def interpolate(cube: Cube, target: DataFrame, lat: str = "latitude", lon: str =
     return Cube(out, (*rest, lat, lon), cube.name, cube.attrs)
 
 
-def regrid(cube: Cube, target: DataFrame, lat: str = "latitude", lon: str = "longitude", method: str = "triangle", border: int = 5, crop_target: bool = True, wrap: bool = True) -> Cube:
-    """Wrap around, crop to the target with a border, clip the target to the input, and interpolate unless the grids agree."""
+def regrid(cube: Cube, target: DataFrame, lat: str = "latitude", lon: str = "longitude", method: str = "triangle", border: int = 5, crop_target: bool = True, wrap: bool = True, interpolation: bool = True, strict: bool = False, tolerance: float = 1e-9) -> Cube:
+    """Wrap around, crop to the target with a border, clip the target to the input, and interpolate unless the grids agree.
+    Without ``interpolation`` the cropped input. ``strict`` makes a target that the input doesn't cover whole a ValueError;
+    else the result's own coordinates tell which points it has. ``tolerance`` widens the crop."""
     if wrap:
         cube = replace(cube, df=extend_longitude(cube, lon).df.drop("source"))
     low = target.agg(F.min(lat), F.max(lat), F.min(lon), F.max(lon)).first()
-    cube = crop_border(cube, {lat: (low[0], low[1]), lon: (low[2], low[3])}, border)
+    cube = crop_border(cube, {lat: (low[0], low[1]), lon: (low[2], low[3])}, border, tolerance)
+    if not interpolation:
+        if strict and not (same_grid(cube, target, lat) and same_grid(cube, target, lon)):
+            raise ValueError("the cropped input has another grid than the target")
+        return cube
     if crop_target:
+        asked = target
         target = clip_target(target, cube, {lat: spacing(cube, lat), lon: spacing(cube, lon)})
+        if strict and target.count() != asked.count():
+            raise ValueError("the input does not cover the target")
     if same_grid(cube, target, lat) and same_grid(cube, target, lon):
         return cube
     return interpolate(cube, target, lat, lon, method)

@@ -8,16 +8,21 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import time
 import uuid
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from contextlib import contextmanager
+from dataclasses import dataclass, field
 from functools import reduce as fold
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cube import VALUE, Cube
 from ..functions.labels import auto_label, evaluated, pattern_name, request_table, space_label, time_label
+from ..sources import packing
 
 KEYS = ["variable", "source", "time", "space"]
 SCHEMA = "variable string, source string, time string, space string, path string, available boolean, linked boolean, dims array<string>, attrs map<string,string>"
@@ -104,16 +109,35 @@ def inherit(outputs: DataFrame, inputs: DataFrame, group: Sequence[str], which:
     return own.join(given, [*group, "__place"], "left").withColumn("attrs", inherited(F.col("attrs"), F.coalesce("__attrs", F.create_map().cast("map<string,string>")), which)).drop("__place", "__last", "__attrs")
 
 
+def rebased(ours: DataFrame, base: DataFrame, now: DataFrame) -> DataFrame:
+    """``now`` with what ``ours`` has changed since ``base``: its new and changed rows, without the rows it has removed."""
+    old = base.select(*(F.col(k).alias(f"__{k}") for k in KEYS), print_of(base).alias("__old"))
+    same = fold(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in KEYS)) & (print_of(ours) == F.col("__old"))
+    changed = ours.join(old, same, "left_anti")
+    removed = unlike(base, ours)
+    return unlike(unlike(now, removed), changed).unionByName(changed)
+
+
+def print_of(table: DataFrame) -> Column:
+    return F.to_json(F.struct(*(table[c] for c in COLUMNS)))
+
+
 @dataclass
 class Catalog:
     """Tables of cubes below ``root``; ``root`` None is a catalogue in memory. A catalogue opened with a query shows some rows
-    only; the stored rows that it does not show are kept when it is saved."""
+    only; the stored rows that it does not show are kept when it is saved.
+
+    Writers take a lock beside the catalogue. What another writer has stored since this one was opened is kept: only
+    rows changed or removed here are changed or removed there."""
 
     spark: SparkSession
     root: str | None = None
     table: DataFrame | None = None
     pattern: str = PATTERN
     hidden: DataFrame | None = None  # stored rows that the query has left out
+    version: str | None = None  # the stored version that this one started from
+    shown: tuple = (None, {})  # the query and the wanted values it was opened with
+    holding: bool = field(default=False, repr=False)
 
     def __post_init__(self):
         if self.table is None:
@@ -123,29 +147,61 @@ class Catalog:
 
     @classmethod
     def open(cls, spark: SparkSession, root: str, reset: bool = False, query: str | None = None, **wanted) -> Catalog:
-        at = _pointer(spark, root)
-        here = None if reset or at is None else spark.read.schema(SCHEMA).parquet(f"{root}/{at['version']}")
-        out = cls(spark, root, here, (at or {}).get("pattern", PATTERN))
-        if here is not None and (query is not None or wanted):
-            out.table = matching(queried(here, query), **wanted)
-            out.hidden = unlike(here, out.table)
-        return out
+        at = _pointer(spark, root) or {}
+        out = cls(spark, root, None, at.get("pattern", PATTERN), version=at.get("version"), shown=(query, wanted))
+        return out if reset else out.refresh()
+
+    def refresh(self) -> Catalog:
+        """The newest stored version, under the query that this catalogue was opened with. Unsaved changes go."""
+        self.version = (_pointer(self.spark, self.root) or {}).get("version")
+        here = self._stored(self.version)
+        query, wanted = self.shown
+        self.table, self.hidden = here, None
+        if query is not None or wanted:
+            self.table = matching(queried(here, query), **wanted)
+            self.hidden = unlike(here, self.table)
+        return self
+
+    def _stored(self, version: str | None) -> DataFrame:
+        return self.spark.createDataFrame([], SCHEMA) if version is None else self.spark.read.schema(SCHEMA).parquet(f"{self.root}/{version}")
+
+    @contextmanager
+    def alone(self, wait: float = 60.0):
+        """No other writer of this catalogue for as long as the block lasts."""
+        if self.root is None or self.holding:
+            yield self
+            return
+        with file_lock(self.spark, f"{self.root}/catalog.lock", wait):
+            self.holding = True
+            try:
+                yield self
+            finally:
+                self.holding = False
 
     def save(self) -> Catalog:
         """A new version, then the pointer; readers of the old version are not disturbed."""
         if self.root is not None:
-            version = f"catalog-{uuid.uuid4().hex}"
-            # a row that is added here replaces a hidden one with the same key
-            whole = self.table if self.hidden is None else unlike(self.hidden, self.table).unionByName(self.table)
-            whole.select(*COLUMNS).write.parquet(f"{self.root}/{version}")
-            _write_text(self.spark, f"{self.root}/current.json", json.dumps({"version": version, "pattern": self.pattern}))
-            stored = self.spark.read.schema(SCHEMA).parquet(f"{self.root}/{version}")
-            if self.hidden is None:
-                self.table = stored
-            else:
-                self.table, self.hidden = alike(stored, self.table), unlike(stored, self.table)
+            with self.alone():
+                version = f"catalog-{uuid.uuid4().hex}"
+                # a row that is added here replaces a hidden one with the same key
+                whole = self.table if self.hidden is None else unlike(self.hidden, self.table).unionByName(self.table)
+                now = (_pointer(self.spark, self.root) or {}).get("version")
+                if now != self.version:
+                    whole = rebased(whole, self._stored(self.version), self._stored(now))
+                whole.select(*COLUMNS).orderBy(*KEYS).write.parquet(f"{self.root}/{version}")
+                _write_text(self.spark, f"{self.root}/current.json", json.dumps({"version": version, "pattern": self.pattern}))
+                stored = self._stored(version)
+                if self.hidden is None:
+                    self.table = stored
+                else:
+                    self.table, self.hidden = alike(stored, self.table), unlike(stored, self.table)
+                self.version = version
         return self
 
+    def rows(self) -> DataFrame:
+        """The rows in the order of their keys."""
+        return self.table.orderBy(*KEYS)
+
     def full_paths(self) -> DataFrame:
         return self.table.withColumn("path_full", F.when(F.col("linked") | F.lit(self.root is None), F.col("path")).otherwise(F.concat_ws("/", F.lit(self.root), "path")))
 
@@ -163,9 +219,9 @@ class Catalog:
             raise ValueError(f"the cube's {missing[0]} is not known")
         return have
 
-    def add(self, cube: Cube | str, method: str = "add", partition_by: Sequence[str] = (), dims: Sequence[str] | None = None, save: bool = True, **keys: str) -> Catalog:
+    def add(self, cube: Cube | str, method: str = "add", partition_by: Sequence[str] = (), dims: Sequence[str] | None = None, save: bool = True, bits: int | None = None, **keys: str) -> Catalog:
         """Registers a cube. add: written below the root; link: a stored table stays where it is; copy: a stored table is
-        written below the root, an existing key is refused unless copy_force_overwrite."""
+        written below the root, an existing key is refused unless copy_force_overwrite. ``bits`` packs what is written."""
         if method not in ("add", "link", "copy", "copy_force_overwrite"):
             raise ValueError(f"no such method: {method}")
         stored = cube if isinstance(cube, str) else None
@@ -176,10 +232,15 @@ class Catalog:
         key = {k: have[k] for k in KEYS}
         if method == "copy" and not self.table.where(_is(key)).isEmpty():
             raise ValueError(f"already there: {key}")
+        if bits and method == "link":
+            raise ValueError("a linked table is not written, so it can't be packed")
+        if bits:
+            cube = packing.pack_cube(cube, bits)
+            have |= {k: str(cube.attrs[k]) for k in packing.ATTRIBUTES}
         if method == "link":
             path = stored
         else:
-            path = pattern_name(self.pattern, have).replace("/", "-").replace(":", "=") + "-" + uuid.uuid4().hex[:8]
+            path = self._new_path(have)
             write = cube.df.write.mode("errorifexists")
             (write.partitionBy(*partition_by) if partition_by else write).parquet(path if self.root is None else f"{self.root}/{path}")
         row = (*(key[k] for k in KEYS), path, True, method == "link", list(cube.dims), {k: v for k, v in have.items() if k not in KEYS})
@@ -198,12 +259,50 @@ class Catalog:
             self.add(path, "link", save=False, **parse(path))
         return self.save()
 
+    def discover_below(self, root: str, pattern: str | None = None, **fixed: str) -> Catalog:
+        """Adds the tables below ``root`` whose names follow ``pattern`` (the catalogue's own if unset); names give the keys."""
+        pattern = pattern or self.pattern
+        parts = re.split(r'"([^"]*)"', pattern)
+        name = re.compile("".join(f"(?P<{p}>[^/]*?)" if i % 2 else re.escape(p) for i, p in enumerate(parts)))
+        found = [(p,) for p in _glob(self.spark, f"{root}/{re.sub(r'\"[^\"]*\"', '*', pattern)}") if name.fullmatch(p.removeprefix(root).removeprefix("/"))]
+        paths = self.spark.createDataFrame(found, "path string")
+        return self.discover(paths, lambda p: {**name.fullmatch(p.removeprefix(root).removeprefix("/")).groupdict(), **fixed})
+
     def cube(self, key: Mapping[str, str] | None = None, **more: str) -> Cube:
+        """The cube of that key; packed values are unpacked as they are read."""
         row = self.full_paths().where(_is({**(key or {}), **more})).first()
         if row is None:
             raise KeyError(f"no such cube: {({**(key or {}), **more})}")
         attrs = {**(row["attrs"] or {}), **{k: row[k] for k in KEYS}}
-        return Cube(self.spark.read.parquet(row["path_full"]), row["dims"], row["variable"], attrs)
+        out = Cube(self.spark.read.parquet(row["path_full"]), row["dims"], row["variable"], attrs)
+        if "bits" not in attrs:
+            return out
+        plain = {k: v for k, v in attrs.items() if k not in packing.ATTRIBUTES}
+        return Cube(packing.unpack_cube(out).df, out.dims, out.name, plain)
+
+    def pack(self, query=None, bits: int = 16, compress: bool = True, limits: Mapping[str, tuple[float, float]] | None = None) -> Catalog:
+        """Stores the cubes that match and are not packed yet as integers. limits: the range by variable, else the package's
+        own. The old data go once the new row is stored, unless they are linked."""
+        todo = queried(self.full_paths(), query).where("available and not coalesce(map_contains_key(attrs, 'bits'), false)")
+        gone = []
+        for row in todo.collect():
+            cube = Cube(self.spark.read.parquet(row["path_full"]), row["dims"], row["variable"], row["attrs"] or {})
+            small = packing.pack_cube(cube, bits, (limits or {}).get(row["variable"]))
+            have = {**(row["attrs"] or {}), **{k: row[k] for k in KEYS}}
+            path = self._new_path(have)
+            small.df.write.option("compression", "zstd" if compress else "none").parquet(path if self.root is None else f"{self.root}/{path}")
+            attrs = {**(row["attrs"] or {}), **{k: str(small.attrs[k]) for k in packing.ATTRIBUTES}}
+            new = (*(row[k] for k in KEYS), path, True, False, row["dims"], attrs)
+            self.table = upsert(self.table, self.spark.createDataFrame([new], SCHEMA))
+            if not row["linked"]:
+                gone.append(row["path_full"])
+        self.save()
+        for path in gone:
+            _delete(self.spark, path)
+        return self
+
+    def _new_path(self, have: Mapping[str, str]) -> str:
+        return pattern_name(self.pattern, have).replace("/", "-").replace(":", "=") + "-" + uuid.uuid4().hex[:8]
 
     def update(self, query=None, **attrs: str) -> Catalog:
         """Sets attributes of the rows that match."""
@@ -290,6 +389,15 @@ class Catalog:
                     to.add(cube, save=False, **key)
         return lazy if mode == "lazy" else to.save()
 
+    def apply_locked(self, fn: Callable, requests, outputs, into: Catalog | str | None = None, wait: float = 60.0, **more):
+        """``apply`` with the results' catalogue held alone and read anew: of two processes that ask for the same outputs, the
+        second finds them there. TimeoutError if another holds it for more than ``wait`` seconds."""
+        to = self if into is None else Catalog.open(self.spark, into) if isinstance(into, str) else into
+        with to.alone(wait):
+            if to.root is not None:
+                to.refresh()
+            return self.apply(fn, requests, outputs, into=to, **more)
+
     def map(self, fn: Callable[[Cube], Cube], query=None) -> dict:
         return {tuple(r[k] for k in KEYS): fn(self.cube({k: r[k] for k in KEYS})) for r in queried(self.table, query).collect()}
 
@@ -323,6 +431,46 @@ def _is(key: Mapping[str, str]) -> Column:
     return fold(lambda a, b: a & b, (F.col(k) == v for k, v in key.items()))
 
 
+@contextmanager
+def file_lock(spark: SparkSession, path: str, wait: float = 60.0, poll: float = 0.2):
+    """One holder at a time, on any file system whose create call without overwriting is atomic; on local disks the system's
+    own exclusive open. A lock left by a process that died must be deleted by hand."""
+    until = time.monotonic() + wait
+    fs, at = _fs(spark, path)
+    local = fs.getScheme() == "file"
+    fs.mkdirs(at.getParent())
+    while not _claimed(fs, at, local):
+        if time.monotonic() > until:
+            raise TimeoutError(f"{path} is held")
+        time.sleep(poll)
+    try:
+        yield
+    finally:
+        fs.delete(at, False)
+
+
+def _claimed(fs, at, local: bool) -> bool:
+    try:
+        if local:
+            os.close(os.open(at.toUri().getPath(), os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+        else:
+            fs.create(at, False).close()
+    except FileExistsError:
+        return False
+    except Py4JJavaError:
+        if fs.exists(at):
+            return False
+        raise
+    return True
+
+
+def _glob(spark: SparkSession, pattern: str) -> list[str]:
+    fs, at = _fs(spark, pattern)
+    found = fs.globStatus(at) or []
+    plain = "://" not in pattern and not pattern.startswith("file:")
+    return sorted(f.getPath().toUri().getPath() if plain else f.getPath().toString() for f in found)
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)

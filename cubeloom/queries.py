@@ -12,9 +12,9 @@ from . import fixtures as fx
 from .cube import VALUE, Cube
 from .functions import labels
 from .operators import align, chunking, interp, reduce, regrid, window
-from .operators.apply import apply, cogroup_apply
+from .operators.apply import apply, apply_vectorised, cogroup_apply
 from .plans import catalog
-from .sources import packing
+from .sources import cube_store, csv_series, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -482,3 +482,100 @@ def top_values(spark, sf_dir):
 @query("select event_type, min_by(day, value) as low, max_by(day, value) as high from ev group by 1", EV)
 def arg_extremes(spark, sf_dir):
     return fx.daily(spark, sf_dir).df.groupBy("event_type").agg(F.min_by("day", VALUE).alias("low"), F.max_by("day", VALUE).alias("high"))
+
+
+@query("select event_type, day, value - avg(value) over (partition by event_type) as value from (select event_type, day, floor(value)::double as value from ev)", EV)
+def vectorised_apply(spark, sf_dir):
+    """Whole numbers, so that the mean is the same in any order of adding."""
+    import numpy as np
+
+    whole = fx.daily(spark, sf_dir).with_value(F.floor(VALUE).cast("double"))
+    return apply_vectorised(whole, lambda x: x - np.sum(x, axis=1, keepdims=True) / x.shape[1], "day").df
+
+
+# --- catalogues that are written and read back ----------------------------------------------------------------
+
+
+def _stored(spark, sf_dir) -> catalog.Catalog:
+    """One cube of daily means for each event type, written to a catalogue."""
+    cat = catalog.Catalog.open(spark, fx.scratch(spark))
+    cube = fx.daily(spark, sf_dir)
+    for (kind,) in cube.df.select("event_type").distinct().orderBy("event_type").collect():
+        cat.add(Cube(cube.df.where(F.col("event_type") == kind).drop("event_type"), ("day",), "events"), save=False, variable="events", source=kind, time="days", space="none")
+    return cat.save()
+
+
+@query("select event_type as source, day, value from ev", EV)
+def catalog_round_trip(spark, sf_dir):
+    cat = _stored(spark, sf_dir)
+    again = catalog.Catalog.open(spark, cat.root)
+    return align.concat({k[1]: c for k, c in again.map(lambda c: c).items()}, "source").df.select("source", "day", VALUE)
+
+
+@query("select distinct event_type as source, 'events' as variable, 'days' as time, 'none' as space from events order by 1")
+def catalog_sorted(spark, sf_dir):
+    return _stored(spark, sf_dir).rows().select(*catalog.KEYS)
+
+
+@query("select event_type as source, avg(abs(value - round(value * 65535 / 1000) * 1000 / 65535)) < 0.01 as near, count(*) as n from ev where value between 0 and 1000 group by 1", EV)
+def catalog_packed(spark, sf_dir):
+    """Packed cubes are unpacked on reading; a second call finds nothing to pack."""
+    cat = _stored(spark, sf_dir).pack().pack()
+    back = align.concat({k[1]: c for k, c in cat.map(lambda c: c).items()}, "source").df.where(F.col(VALUE).isNotNull())
+    plain = fx.daily(spark, sf_dir).df.select(F.col("event_type").alias("source"), "day", F.col(VALUE).alias("own"))
+    return back.join(plain, ["source", "day"]).groupBy("source").agg((F.avg(F.abs(F.col(VALUE) - F.col("own"))) < 0.01).alias("near"), F.count(F.lit(1)).alias("n"))
+
+
+@query("select event_type as source, max(value) as value from ev group by 1", EV)
+def catalog_locked_apply(spark, sf_dir):
+    """The second process finds every output there and makes none."""
+    cat = _stored(spark, sf_dir)
+    to = fx.scratch(spark)
+    top = lambda c: reduce.reduce(c, "day", "max")
+    for _ in range(2):
+        done = cat.apply_locked(top, {"variable": ["events"]}, [{"variable": "top"}], into=to)
+    return align.concat({k[1]: c for k, c in done.map(lambda c: c).items()}, "source").df.select("source", VALUE)
+
+
+@query("select event_type as source, day, value from ev where event_type <> 'click' union all select event_type, day, value + 1 from ev where event_type = 'click'", EV)
+def collection_read(spark, sf_dir):
+    """Of two catalogues the later one counts where both have a cube."""
+    first = _stored(spark, sf_dir)
+    later = catalog.Catalog.open(spark, fx.scratch(spark))
+    key = {"variable": "events", "source": "click", "time": "days", "space": "none"}
+    if not first.table.where("source = 'click'").isEmpty():
+        later.add(first.cube(key).with_value(F.col(VALUE) + 1), **key)
+    both = catalog.Collection(spark, [first, later])
+    return align.concat({k[1]: c for k, c in both.map(lambda c: c).items()}, "source").df.select("source", "day", VALUE)
+
+
+@query("select event_type as source, day, value from ev", EV)
+def catalog_discover(spark, sf_dir):
+    """Tables below a folder, found by the pattern of their names."""
+    root = fx.scratch(spark)
+    cube = fx.daily(spark, sf_dir)
+    for (kind,) in cube.df.select("event_type").distinct().collect():
+        cube_store.write(Cube(cube.df.where(F.col("event_type") == kind).drop("event_type"), ("day",)), f"{root}/events_{kind}.parquet", single=False)
+    cat = catalog.Catalog.open(spark, fx.scratch(spark)).discover_below(root, '"variable"_"source".parquet', time="days", space="none")
+    return align.concat({k[1]: c for k, c in cat.map(lambda c: c).items()}, "source").df.select("source", "day", VALUE)
+
+
+@query("select (case event_type when 'click' then 0 else 1 end)::int as part, event_type, day, value from ev where event_type in ('click', 'view')", EV)
+def file_list(spark, sf_dir):
+    """Files along an outer dimension: the place in the list is the coordinate."""
+    root, cube = fx.scratch(spark), fx.daily(spark, sf_dir)
+    paths = [cube_store.write(cube.where(F.col("event_type") == k), f"{root}/{k}", single=False) for k in ("click", "view")]
+    return cube_store.read_files(spark, paths, ["event_type", "day"], "part").df
+
+
+@query("select o_orderpriority as variable, o_orderdate::timestamp as time, sum(o_totalprice::decimal(18,2))::double as value from orders group by 1, 2")
+def csv_station_series(spark, sf_dir):
+    """A wide text table with a date column, read as one series for each column."""
+    root = fx.scratch(spark)
+    o = fx.table(spark, sf_dir, "orders")
+    wide = o.groupBy(F.date_format("o_orderdate", "dd/MM/yyyy").alias("Dates")).pivot("o_orderpriority").agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")))
+    names = [c for c in wide.columns if c != "Dates"]
+    wide.toDF("Dates", *(f"P{i}" for i in range(len(names)))).write.csv(root, header=True)
+    long = csv_series.long_series(csv_series.read_series(spark, root, "Dates", "dd/MM/yyyy")).where(F.col(VALUE).isNotNull())
+    label = F.create_map(*(F.lit(x) for i, n in enumerate(names) for x in (f"P{i}", n)))
+    return long.select(label[F.col("variable")].alias("variable"), F.col("time"), VALUE)

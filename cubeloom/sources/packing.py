@@ -9,6 +9,7 @@ from ..cube import VALUE, Cube
 
 #: Physical ranges by (variable, unit). Fixed values of this package; unknown pairs are an error.
 RANGES = {("temperature", "K"): (150.0, 350.0), ("temperature", "degC"): (-120.0, 80.0), ("precipitation", "mm"): (0.0, 2000.0), ("fraction", "1"): (0.0, 1.0), ("events", "1"): (0.0, 1000.0)}
+ATTRIBUTES = ("add_offset", "scale_factor", "bits")
 KINDS = {8: "smallint", 16: "int"}  # unsigned numbers of 8 or 16 bits
 
 

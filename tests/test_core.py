@@ -237,3 +237,82 @@ def test_points_outside_the_grid_are_missing_at_every_loop_point(spark):
     target = spark.createDataFrame([(0.5, 0.5), (9.0, 9.0)], "latitude double, longitude double")
     got = {(r["t"], r["latitude"]): r["value"] for r in regrid.interpolate(cube, target).df.collect()}
     assert got == {(0, 0.5): 1.0, (1, 0.5): 2.0, (0, 9.0): None, (1, 9.0): None}
+
+
+def test_two_writers_of_one_catalogue(spark, tmp_path):
+    root = str(tmp_path / "cat")
+    cube = Cube(spark.createDataFrame([(1, 2.0)], "t int, value double"), ("t",), "v")
+    key = lambda s: {"variable": "v", "source": s, "time": "x", "space": "none"}
+    catalog.Catalog.open(spark, root).add(cube, **key("a")).add(cube, **key("b"))
+    one, two = catalog.Catalog.open(spark, root), catalog.Catalog.open(spark, root)
+    one.add(cube, **key("c"))
+    two.remove("source = 'a'")
+    two.update("source = 'b'", note="n")
+    one.add(cube, **key("d"))
+    rows = catalog.Catalog.open(spark, root).rows().collect()
+    assert [(r["source"], r["attrs"].get("note")) for r in rows] == [("b", "n"), ("c", None), ("d", None)]
+    with one.alone(), pytest.raises(TimeoutError), catalog.Catalog.open(spark, root).alone(wait=0.1):
+        pass
+    with two.alone(wait=0.1):
+        pass
+
+
+def test_packing_in_a_catalogue(spark, tmp_path):
+    import os
+
+    cat = catalog.Catalog.open(spark, str(tmp_path / "cat"))
+    cube = Cube(spark.createDataFrame([(1, 2.0), (2, None), (3, 40.0)], "t int, value double"), ("t",), "v")
+    key = {"variable": "v", "source": "a", "time": "x", "space": "none"}
+    cat.add(cube, **key)
+    old = cat.full_paths().first()["path_full"]
+    cat.pack(limits={"v": (0.0, 100.0)})
+    assert not os.path.exists(old)
+    row = cat.full_paths().first()
+    assert row["attrs"]["bits"] == "16" and dict(spark.read.parquet(row["path_full"]).dtypes)["value"] == "int"
+    cat.pack(limits={"v": (0.0, 100.0)})
+    assert cat.full_paths().first()["path"] == row["path"]
+    assert values(catalog.Catalog.open(spark, cat.root).cube(key), "t") == [pytest.approx(2.0, abs=1e-3), None, pytest.approx(40.0, abs=1e-3)]
+    with pytest.raises(ValueError, match="no range"):
+        cat.add(cube.with_attrs(units="furlong"), bits=16, **key)
+
+
+def test_vectorised_apply_calls_once_for_many_points(spark):
+    import numpy as np
+
+    c = fx.vectors(spark, SF)
+    calls = spark.sparkContext.accumulator(0)
+
+    def low(x):
+        calls.add(1)
+        return np.nanmin(x, axis=1)
+
+    got = {r[0]: r[1] for r in apply.apply_vectorised(c, low, "k", reduces=True).df.collect()}
+    want = {r[0]: r[1] for r in c.df.groupBy("vec_id").agg(F.min("value")).collect()}
+    assert got == want and calls.value < len(want) / 4
+    ragged = Cube(spark.createDataFrame([(p, i, float(i)) for p in (None, "a", "b") for i in range({"a": 3, "b": 3}.get(p, 2))], "p string, i int, value double"), ("p", "i"))
+    out = apply.apply_vectorised(ragged, lambda x: x[:, :2] * 2, "i", output=("j", "int", [7, 8])).df.collect()
+    assert sorted((r["p"] or "", r["j"], r["value"]) for r in out) == sorted((p, j, v) for p in ("", "a", "b") for j, v in ((7, 0.0), (8, 2.0)))
+    assert apply.apply_vectorised(ragged.where("false"), lambda x: x, "i").df.count() == 0
+    with pytest.raises(Exception, match="shape"):
+        apply.apply_vectorised(ragged, lambda x: x[:, :1], "i").df.collect()
+
+
+def test_both_quantiles_agree(spark):
+    rows = [("a", i, float(i % 4)) for i in range(9)] + [("b", 0, None), ("c", 0, 5.0), ("c", 1, None)]
+    c = Cube(spark.createDataFrame(rows, "g string, t int, value double"), ("g", "t"))
+    for start, end in ((False, False), (True, True)):
+        made = [sorted(map(tuple, f(c, "t", [0.0, 0.3, 0.9, 1.0], stable_start=start, stable_end=end).df.collect()), key=str) for f in (reduce.quantiles, reduce.ranked_quantiles)]
+        assert made[0] == made[1] and len(made[0]) == 12
+
+
+def test_regrid_without_interpolation(spark):
+    grid = fx.grid(spark)
+    target = spark.createDataFrame([(float(a), float(b)) for a in (0, 5, 10) for b in (20, 25, 30)], "latitude double, longitude double")
+    got = regrid.regrid(grid, target, border=0, interpolation=False, strict=True)
+    assert got.df.count() == 9
+    with pytest.raises(ValueError):
+        regrid.regrid(grid, target, border=1, interpolation=False, strict=True)
+    beyond = target.union(spark.createDataFrame([(120.0, 20.0)], "latitude double, longitude double"))
+    with pytest.raises(ValueError):
+        regrid.regrid(grid, beyond, strict=True)
+    assert regrid.regrid(grid, beyond).df.count() == 9
