@@ -1,9 +1,11 @@
 """Byte payloads as ISO base media files: a writer of one raw track, and a reader that walks the nested
-boxes, decodes the sample tables and reports codec, duration and key-frame byte ranges without
-decoding a payload.
+boxes, decodes the sample tables, those of movie fragments too, and reports codec, duration and key-frame byte
+ranges without decoding a payload.
 
-Defined cases: null text is empty (one padded frame); equal texts give equal files; a file of which a
-box overruns its parent raises ValueError.
+Defined cases: null text is empty (one padded frame); a null id is kept; equal texts give equal files and repeated rows
+equal rows; very long texts are one file, with 64-bit offsets where 32 bits don't reach; an empty table gives no rows; other
+columns are not read, whatever their names. A file raises ValueError in which a box overruns its parent, a table has
+more entries than its box holds, a sample lies outside the file, or samples have no chunk.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ KEY_EVERY = 16  # every so many samples one is a sync sample
 CHUNK = 64  # samples of a chunk
 TIMESCALE = 48_000
 #: Boxes whose payload is boxes again.
-NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"moof", b"traf"}
+NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
 
 
 def box(kind: bytes, *parts: bytes) -> bytes:
@@ -101,39 +103,125 @@ def walk(data: memoryview, start: int = 0, end: int | None = None, path: tuple[b
 
 
 def read_tracks(data: bytes) -> list[dict]:
-    """Per track: codec, timescale, duration (units), sample offsets and sizes, sync sample numbers (0-based)."""
-    view, tracks = memoryview(data), []
+    """Per track: id, codec, timescale, duration (units), sample offsets and sizes, sync sample numbers (0-based)."""
+    try:
+        return _tracks(memoryview(data))
+    except (struct.error, IndexError) as e:
+        raise ValueError("a box is too short for its fields") from e
+
+
+def _tracks(view: memoryview) -> list[dict]:
+    tracks, defaults, fragments, top = [], {}, [], 0
     for path, a, b in walk(view):
         kind = path[-1]
+        if len(path) == 1:
+            start, top = top, b  # boxes of the file stand side by side
+        if kind == b"moof":
+            fragments.append({"start": start, "runs": []})
+        elif kind == b"trex":
+            number, _, duration, size, flags = struct.unpack_from(">5I", view, a + 4)
+            defaults[number] = (duration, size, flags)
+        elif kind == b"tfhd" and fragments:
+            fragments[-1]["runs"].append({**_fragment_head(view, a), "parts": []})
+        elif kind == b"trun" and fragments and fragments[-1]["runs"]:
+            fragments[-1]["runs"][-1]["parts"].append(_fragment_run(view, a, b))
         if kind == b"trak":
-            tracks.append({})
+            tracks.append({"duration": 0})
         if not tracks or b"trak" not in path:
             continue
         t = tracks[-1]
-        if kind == b"mdhd":
+        if kind == b"tkhd":
+            t["id"] = struct.unpack_from(">I", view, a + (20 if view[a] else 12))[0]
+        elif kind == b"mdhd":
             t["timescale"], t["duration"] = struct.unpack_from(">IQ", view, a + 20) if view[a] else struct.unpack_from(">II", view, a + 12)
         elif kind == b"stsd":
             t["codec"] = bytes(view[a + 12 : a + 16]).decode("latin-1")
         elif kind in (b"stts", b"ctts"):
-            t[kind.decode()] = list(struct.iter_unpack(">II", view[a + 8 : a + 8 + 8 * _count(view, a)]))
+            t[kind.decode()] = _entries(view, a, b, ">II")
         elif kind == b"stss":
-            t["sync"] = [x - 1 for (x,) in struct.iter_unpack(">I", view[a + 8 : a + 8 + 4 * _count(view, a)])]
+            t["sync"] = [x - 1 for (x,) in _entries(view, a, b, ">I")]
         elif kind == b"stsc":
-            t["runs"] = list(struct.iter_unpack(">III", view[a + 8 : a + 8 + 12 * _count(view, a)]))
+            t["runs"] = _entries(view, a, b, ">III")
         elif kind == b"stsz":
             size, n = struct.unpack_from(">II", view, a + 4)
-            t["sizes"] = [size] * n if size else [x for (x,) in struct.iter_unpack(">I", view[a + 12 : a + 12 + 4 * n])]
+            if size * n > len(view):
+                raise ValueError("more samples than the file holds")
+            t["sizes"] = [size] * n if size else [x for (x,) in _entries(view, a + 4, b, ">I")]
         elif kind in (b"stco", b"co64"):
-            w, form = (4, ">I") if kind == b"stco" else (8, ">Q")
-            t["chunks"] = [x for (x,) in struct.iter_unpack(form, view[a + 8 : a + 8 + w * _count(view, a)])]
+            t["chunks"] = [x for (x,) in _entries(view, a, b, ">I" if kind == b"stco" else ">Q")]
     for t in tracks:
+        t.setdefault("sizes", [])
         t["offsets"] = _offsets(t)
+        if len(t["offsets"]) != len(t["sizes"]):
+            raise ValueError("samples without a chunk")
         t.setdefault("sync", list(range(len(t["offsets"]))))
+    for f in fragments:
+        _append(f, {t.get("id"): t for t in tracks}, defaults)
+    for t in tracks:
+        if any(at + n > len(view) for at, n in zip(t["offsets"], t["sizes"], strict=True)):
+            raise ValueError("a sample lies outside the file")
     return tracks
 
 
-def _count(view: memoryview, at: int) -> int:
-    return struct.unpack_from(">I", view, at + 4)[0]
+def _entries(view: memoryview, start: int, end: int, form: str) -> list[tuple]:
+    """The rows of a table: flags, a count, and so many entries."""
+    n, w = struct.unpack_from(">I", view, start + 4)[0], struct.calcsize(form)
+    if start + 8 + n * w > end:
+        raise ValueError("a table has more entries than its box")
+    return list(struct.iter_unpack(form, view[start + 8 : start + 8 + n * w]))
+
+
+def _fragment_head(view: memoryview, a: int) -> dict:
+    flags, number = struct.unpack_from(">II", view, a)
+    out, at = {"id": number, "from_moof": bool(flags & 0x20000)}, a + 8
+    for bit, name, form in ((0x1, "base", ">Q"), (0x2, "entry", ">I"), (0x8, "duration", ">I"), (0x10, "size", ">I"), (0x20, "flags", ">I")):
+        if flags & bit:
+            out[name] = struct.unpack_from(form, view, at)[0]
+            at += struct.calcsize(form)
+    return out
+
+
+def _fragment_run(view: memoryview, a: int, b: int) -> dict:
+    """Where the run starts, if it says so, and per sample what it gives of duration, size and flags."""
+    flags, n = struct.unpack_from(">II", view, a)
+    at, out = a + 8, {"n": n}
+    if flags & 0x1:
+        out["offset"] = struct.unpack_from(">i", view, at)[0]
+        at += 4
+    if flags & 0x4:
+        out["first_flags"] = struct.unpack_from(">I", view, at)[0]
+        at += 4
+    names = [name for bit, name in ((0x100, "duration"), (0x200, "size"), (0x400, "flags"), (0x800, "shift")) if flags & bit]
+    if at + 4 * len(names) * n > b:
+        raise ValueError("a table has more entries than its box")
+    if not names and n > len(view):
+        raise ValueError("more samples than the file holds")
+    rows = struct.iter_unpack(f">{len(names)}I", view[at : at + 4 * len(names) * n]) if names else ((),) * n
+    out["samples"] = [dict(zip(names, r, strict=True)) for r in rows]
+    return out
+
+
+def _append(fragment: dict, tracks: dict, defaults: dict) -> None:
+    """The samples of a fragment behind those their tracks have."""
+    end = fragment["start"]  # a part without a base starts where the part before it ended
+    for part in fragment["runs"]:
+        t = tracks.get(part["id"])
+        if t is None:
+            raise ValueError("a fragment of an unknown track")
+        base = part.get("base", fragment["start"] if part["from_moof"] else end)
+        duration, size, flags = (part.get(k, d) for k, d in zip(("duration", "size", "flags"), defaults.get(part["id"], (0, 0, 0)), strict=True))
+        at = base
+        for run in part["parts"]:
+            at = base + run["offset"] if "offset" in run else at
+            for k, x in enumerate(run["samples"]):
+                own = x.get("flags", run["first_flags"] if k == 0 and "first_flags" in run else flags)
+                if not own & 0x10000:  # not marked as depending on others
+                    t["sync"].append(len(t["offsets"]))
+                t["offsets"].append(at)
+                t["sizes"].append(x.get("size", size))
+                t["duration"] += x.get("duration", duration)
+                at += t["sizes"][-1]
+        end = at
 
 
 def _offsets(t: dict) -> list[int]:

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cubeloom.llm import automaton, graph, host_rules, html_lstm, iso_media, katz_lm, packing, secret_scan, sentencepiece_codec, simhash_dedup, substring_windows, suffix_dedup, suffix_sort
 
@@ -478,6 +479,52 @@ def test_media(docs):
         list(iso_media.walk(memoryview(b"\0\0\0\x40moov1234")))
 
 
+def test_media_with_forged_tables():
+    file = iso_media.write_media(b"a" * 576 * 3)
+    for kind, at in ((b"stts", 8), (b"stss", 8), (b"stsc", 8), (b"stco", 8), (b"stsz", 12)):
+        k = file.index(kind)
+        with pytest.raises(ValueError):
+            iso_media.read_tracks(file[: k + at] + b"\x00\x0f\x42\x40" + file[k + at + 4 :])
+    k = file.index(b"stco") + 12  # the chunk's own place, beyond the end
+    with pytest.raises(ValueError):
+        iso_media.read_tracks(file[:k] + b"\x00\x0f\x42\x40" + file[k + 4 :])
+    k = file.index(b"stsc") + 16  # fewer samples in the chunk than there are sizes
+    with pytest.raises(ValueError):
+        iso_media.read_tracks(file[:k] + b"\x00\x00\x00\x01" + file[k + 4 :])
+
+
+def test_media_fragments():
+    import struct
+
+    box, full = iso_media.box, iso_media.full
+    file = iso_media.write_media(b"a" * 576)
+    samples = [b"first", b"second!", b"3", b"four"]
+    head = full(b"tfhd", struct.pack(">III", 1, 100, 0x10000), flags=0x20028)  # duration and flags for all: depends on others
+    made = lambda at: box(b"moof", full(b"mfhd", bytes(4)), box(b"traf", head, full(b"trun", struct.pack(">IiI", 3, at, 0), *(struct.pack(">I", len(x)) for x in samples[:3]), flags=0x205), full(b"trun", struct.pack(">III", 1, 7, 4), flags=0x300)))
+    file += made(len(made(0)) + 8) + box(b"mdat", *samples)
+    (track,) = iso_media.read_tracks(file)
+    assert iso_media.payload_of(file, track) == b"a" * 576 + b"".join(samples)
+    assert track["sync"] == [0, 1] and track["duration"] == 576 + 3 * 100 + 7
+    assert [file[a:b] for a, b in iso_media.key_ranges(track)][1] == b"first"
+    with pytest.raises(ValueError):
+        iso_media.read_tracks(file.replace(b"trun" + struct.pack(">II", 0x205, 3), b"trun" + struct.pack(">II", 0x205, 3000)))
+
+
+def test_null_ids_repeated_rows_and_clashing_columns(spark):
+    """Every row comes back, rows without an id too; columns of the operators' own names do no harm."""
+    clash = ["rest", "own", "host", "q", "h", "th", "code", "codes", "d", "t", "fingerprint", "component_id", "label", "salt", "words", "kept", "spans", "sequence_id", "start"]
+    some = [(i, t, "en", "s", 1) for i, t in [(None, TEXTS[4]), (None, TEXTS[4]), (None, None), (None, TEXTS[8]), (5, TEXTS[5]), (5, TEXTS[5]), (6, TEXTS[6]), (7, "")]]
+    rows = spark.createDataFrame(some, "doc_id long, text string, lang string, source string, n_chars long").select("*", *(F.lit("x").alias(c) for c in clash))
+    for f in (sentencepiece_codec.encoded, katz_lm.scored, host_rules.judge, simhash_dedup.near_groups, suffix_dedup.deduplicated, secret_scan.scan, iso_media.media_columns):
+        got = f(rows).collect()
+        assert sorted(str(r["doc_id"]) for r in got) == ["5", "5", "6", "7", "None", "None", "None", "None"], f
+    pieces = packing.pack_documents(rows).collect()
+    assert sum(r["start"] == 0 for r in pieces) == len(some)
+    assert {r["doc_id"] for r in substring_windows.near_passages(rows).collect()} == {None, 5, 6, 7}
+    pages = spark.createDataFrame([(None, "u", None), (None, "u", None), (1, None, "<p>" + "a b. " * 30)], "page_id long, url string, html string").select("*", F.lit(1).alias("text"), F.lit(2).alias("n_chars"))
+    assert sorted(str(r["page_id"]) for r in html_lstm.extracted(pages).collect()) == ["1", "None", "None"]
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
