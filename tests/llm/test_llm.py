@@ -368,6 +368,57 @@ def test_members_meet_where_they_have_common_ranges():
     assert 50 < yes < 280
 
 
+def test_groups_searched_together_have_the_links_of_each_alone():
+    rng = random.Random(30)
+    members = []
+    for g in range(40):
+        w = [f"g{g}-{i}" for i in range(101)]
+        members += [(g, rng.randint(0, 9), substring_windows.tokens(" ".join(edited(w, rng, rng.choice([0, 1, 4, 9]))).encode())[:97] & np.uint64(0xFFFFFF)) for _ in range(rng.choice([1, 2, 2, 3, 20]))]
+    group, doc = (np.array([m[k] for m in members]) for k in range(2))
+    n = np.array([len(m[2]) for m in members])
+    t = np.full((len(members), 97), substring_windows.NOTHING, np.uint32)
+    for k, m in enumerate(members):
+        t[k, : n[k]] = m[2]
+
+    def meets(i, j):
+        x, y = (m.astype(np.uint32) for m in (members[i][2], members[j][2]))
+        k = np.argsort(y, kind="stable")
+        return substring_windows.meets(x, y, k, y[k], len(np.unique(y)) == len(y))
+
+    one, two = substring_windows.forests(group, doc, t, n)
+    assert len(set(two.tolist())) == len(two) > 50  # nothing is reached twice
+    assert all(group[i] == group[j] and doc[i] != doc[j] and meets(i, j) for i, j in zip(one.tolist(), two.tolist(), strict=True))
+    # alone, each group has the same forest
+    alone = [(i + at, j + at) for g in range(40) for at in [int(np.argmax(group == g))] for i, j in zip(*(x.tolist() for x in substring_windows.forests(np.zeros(int((group == g).sum()), np.int64), doc[group == g], t[group == g], n[group == g])), strict=True)]
+    assert sorted(alone) == sorted(zip(one.tolist(), two.tolist(), strict=True))
+
+
+def test_copies_are_linked_to_the_first_and_not_searched(spark, monkeypatch):
+    rng = random.Random(31)
+    text, other = (" ".join(f"w{rng.random()}" for _ in range(90)) for _ in range(2))
+    rows = [(7, text), (3, text), (9, text), (9, other), (4, f"{text} {other}"), (5, "too short"), (6, "too short"), (None, text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen = []
+    monkeypatch.setattr(substring_windows, "members", lambda d, f=substring_windows.members: (seen.extend(r["doc_id"] for r in d.collect()), f(d))[1])
+    for most in (300_000, 0):  # the copies are broadcast, or joined
+        seen.clear()
+        monkeypatch.setattr(substring_windows, "BROADCAST", most)
+        got = substring_windows.near_passages(docs).collect()
+        assert sorted(map(str, seen)) == ["3", "4", "5", "6", "9", "None"] and len(got) == len(rows)
+        got = {(r["doc_id"], r["n_words"]): r for r in got if r["doc_id"] is not None and r["n_words"] > 2}
+        assert [(got[k]["class_id"], got[k]["n_links"], got[k]["spans"]) for k in ((3, 90), (7, 90), (4, 180))] == [(3, 3, "0:89"), (3, 1, "0:89"), (3, 2, "0:179")]
+        assert got[9, 90]["class_id"] == 3
+
+
+def test_a_passage_at_several_places_of_both_documents_is_one_row_a_place(spark):
+    t = [int(x) for x in substring_windows.tokens(PASSAGE.encode())]
+    gap = list(range(10**6, 10**6 + 60))
+    both = [np.array(sum(([k + i for k in gap] + t for i in range(0, 60 * n, 60)), []), np.uint64).tobytes() for n in (3, 4)]
+    rows = spark.createDataFrame([(1, 2, k, side, 0, both[side]) for k in range(2) for side in range(2)], "a long, b long, k long, side long, start long, t binary")
+    got = [tuple(r) for r in substring_windows.verified(rows).collect()]
+    assert len(got) == len(set(got)) and {r[0] for r in got} == {1, 2}
+
+
 def test_compact_windows_are_the_cartesian_tree():
     for _ in range(30):
         a = [RNG.randint(1, 6) for _ in range(RNG.randint(1, 25))]
