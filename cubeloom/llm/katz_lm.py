@@ -133,7 +133,7 @@ class Grams:
     """The distinct n-grams of a block: local numbers of history and last word, of the n-gram one word shorter (``low``), training
     counts here, and the n-gram of each token (-1: none). Then, from the tables, ``count`` over all blocks, ``number``, and whether other blocks have it (``shared``)."""
 
-    def __init__(self, b: Block, low: Grams | None):
+    def __init__(self, b: Block, low: Grams | None, scoring: bool = True):
         if low is None:  # words
             self.at = b.tokens
             self.own = np.bincount(b.tokens[b.train], minlength=b.n_words)
@@ -154,7 +154,8 @@ class Grams:
         self.h_number = np.append(low.number, 0) if first else low.number
         self.asked = (np.append(low.shared, True) if first else low.shared)[self.history]
         self.count, self.number, self.shared = self.own.copy(), np.zeros(len(key), np.int64), np.zeros(len(key), bool)
-        self.figures = figures_of(self.history[~self.asked], self.own[~self.asked], low.count[self.low[~self.asked]], len(self.h_count))
+        #: Only scores need them, and they are the largest part of a block.
+        self.figures = figures_of(self.history[~self.asked], self.own[~self.asked], low.count[self.low[~self.asked]], len(self.h_count)) if scoring else None
 
     history = None
     order = 1
@@ -380,8 +381,10 @@ def gram_requests(rows: DataFrame, n: int, **given) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in one_by_one(batch):
-                b = Block(row, answers=row["answers"], order=n - 1, **given)
-                g = Grams(b, b.grams[-1])
+                b = Block(row, answers=row.pop("answers"), order=n - 1, **given)
+                for g in b.grams[1:]:
+                    g.figures = None
+                g = Grams(b, b.grams[-1], scoring=False)
                 low = b.grams[-1].count
                 out = [(-1 - row["block"] % tables, row["block"], counts_of_counts(g.own[~g.asked]).tobytes())]
                 for t, mine, hist in b.asked_grams(g, tables, crowd):

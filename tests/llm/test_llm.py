@@ -117,6 +117,19 @@ def test_katz_crowded_history_is_dealt_over_tables():
     assert len(set(katz_lm.gram_tables(history, part, np.full(1000, 1), 50).tolist())) == 1
 
 
+def test_katz_requests_hold_no_figures():
+    rng = np.random.default_rng(3)
+    tokens, squeezed = rng.integers(0, 40, 500), katz_lm.squeezed
+    counts = np.bincount(tokens, minlength=40).astype("<i8")
+    row = {"ids": squeezed(np.array([1, 2], "<i8")), "known_ids": squeezed(np.array([True, True])), "sizes": squeezed(np.array([200, 300], "<i8")), "tokens": squeezed(tokens.astype("<u4"))}
+    row["words"] = katz_lm.framed(squeezed(counts), squeezed(np.arange(1, 41).astype("<i8")))
+    b = katz_lm.Block(row, starts=2, tables=3, crowd=10, order=2)
+    full, thin = katz_lm.Grams(b, b.grams[-1]), katz_lm.Grams(b, b.grams[-1], scoring=False)
+    assert full.figures is not None and thin.figures is None
+    for x, y in zip(b.asked_grams(full, 3, 10), b.asked_grams(thin, 3, 10), strict=True):
+        assert x[0] == y[0] and all(np.array_equal(p, q) for p, q in zip(x[1:], y[1:], strict=True))
+
+
 def test_katz_with_crowded_histories(spark, docs, monkeypatch):
     rows = sorted(map(tuple, katz_lm.scored(docs).collect()), key=str)
     monkeypatch.setattr(katz_lm, "BLOCK_BYTES", 2000)
