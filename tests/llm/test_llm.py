@@ -406,6 +406,34 @@ def test_groups_searched_together_have_the_links_of_each_alone():
     assert sorted(alone) == sorted(zip(one.tolist(), two.tolist(), strict=True))
 
 
+def test_members_without_enough_tokens_are_not_compared(spark):
+    # runs of two words: many windows of few tokens; and passages with an edit, which are compared
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(["la"] * (60 + i) + ["de"] * (90 - i))) for i in range(6)] + [(10 + i, " ".join([*words[: 50 + i], f"e{i}", *words[51 + i :]])) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    met = substring_windows.links(substring_windows.members(docs).repartition(2, "bucket").sortWithinPartitions("bucket")).collect()
+    assert {r["a"] for r in met if r["what"] == substring_windows.ASKED} == {10, 11, 12}
+
+
+def test_members_that_share_few_tokens_fall_out_one_after_the_other():
+    # 30 members, each of which has 20 tokens in common with the next, and two that share 40
+    t = [[1000 * k + i for i in range(20)] + [1000 * (k + 1) + i for i in range(20)] for k in range(30)] + [list(range(90_000, 90_040))] * 2
+    lists, holders = (np.array(v) for v in zip(*sorted((x, k) for k, v in enumerate(t) for x in v), strict=True))
+    some, lists, holders = substring_windows.hopeful(np.arange(32), lists, holders)
+    assert {30, 31} <= set(some.tolist()) and 0 not in some and len(lists) == len(holders) and set(holders.tolist()) == set(range(len(some)))
+
+
+def test_ranges_are_worked_out_when_they_are_needed(monkeypatch):
+    def no(*_):
+        raise AssertionError
+
+    a = np.arange(1000, 1080, dtype=np.uint64)
+    b = np.append(a[:70], np.arange(5000, 5005, dtype=np.uint64))
+    monkeypatch.setattr(substring_windows, "longest_range", no)
+    monkeypatch.setattr(substring_windows, "best_range", no)
+    assert substring_windows.common(a, b) == [(0, 69, 0, 69)]
+
+
 def test_copies_are_linked_to_the_first_and_not_searched(spark, monkeypatch):
     rng = random.Random(31)
     text, other = (" ".join(f"w{rng.random()}" for _ in range(90)) for _ in range(2))
