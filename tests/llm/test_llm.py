@@ -423,6 +423,20 @@ def test_members_that_share_few_tokens_fall_out_one_after_the_other():
     assert {30, 31} <= set(some.tolist()) and 0 not in some and len(lists) == len(holders) and set(holders.tolist()) == set(range(len(some)))
 
 
+def test_members_with_a_short_passage_in_common_are_told_apart_at_once(monkeypatch):
+    def no(*_):
+        raise AssertionError
+
+    monkeypatch.setattr(substring_windows, "meets", no)
+    # 34 tokens in common, and repeats around them on one side
+    x = [*(5000 + i for i in range(21)), *[7, 8] * 2, *range(100, 134)]
+    y = [*(6000 + i for i in range(20)), *range(100, 134), *(6500 + i for i in range(20))]
+    t = np.full((2, 97), substring_windows.NOTHING, np.uint32)
+    t[0, : len(x)], t[1, : len(y)] = x, y
+    one, two = substring_windows.forests(np.zeros(2, np.int64), np.array([1, 2]), t, np.array([len(x), len(y)]))
+    assert len(one) == len(two) == 0
+
+
 def test_ranges_are_worked_out_when_they_are_needed(monkeypatch):
     def no(*_):
         raise AssertionError
